@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import idfiles, linededup, mixing
+from . import avi, bpe, fingerprint, idfiles, langid, licences, linededup, mixing, secrets
 
 QUERIES = {
     "op1_token_files": idfiles.op1_token_files,
+    "op2_secrets": secrets.op2_secrets,
+    "op3_language": langid.op3_language,
     "op4_mixing": mixing.op4_mixing,
+    "op6_bpe": bpe.op6_bpe,
+    "op7_media": avi.op7_media,
+    "op8_fingerprints": fingerprint.op8_fingerprints,
+    "op9_licences": licences.op9_licences,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
