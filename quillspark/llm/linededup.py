@@ -64,14 +64,11 @@ def dedup_lines(pages: DataFrame, host_col="host", text_col="text", max_ratio=MA
 
 # The lines of an HTML page: what block elements hold, without tags.
 _HTML = (
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<script[^>]*>.*?</script>", ""),
-    (r"(?is)<style[^>]*>.*?</style>", ""),
+    (r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", ""),
     (r"[\r\n]+", " "),
     (r"(?i)<(/?(p|div|li|ul|ol|h[1-6]|tr|table|article|nav|section|header|footer|head|body|title|html)|br|hr)( [^>]*)?/?>", "\n"),
     (r"<[^>]*>", ""),
     (r"\n[ \n]*", "\n"),
-    (r"\A\n|\n\z", ""),
 )
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)"
 
@@ -79,13 +76,14 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)"
 def html_lines(html: Column) -> Column:
     for pattern, to in _HTML:
         html = F.regexp_replace(html, pattern, to)
-    return html
+    return F.btrim(html, F.lit("\n"))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     pages = pages.select("page_id", F.lower(F.regexp_extract("url", HOST, 1)).alias("host"), html_lines(F.col("html")).alias("text"))
-    out = dedup_lines(pages)
+    # Both passes over the lines read the extracted text; the HTML is parsed once.
+    out = dedup_lines(write_table(pages))
     return out.select("page_id", "host", F.col("_ld_before").alias("n_lines"), F.col("_ld_after").alias("n_kept"), "text")
 
 
@@ -93,7 +91,7 @@ def _sql_html() -> str:
     x = "html"
     for pattern, to in _HTML:
         x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')" if to != "\n" else f"regexp_replace({x}, '{pattern}', chr(10), 'g')"
-    return x
+    return f"trim({x}, chr(10))"
 
 
 ORACLE = rf"""
