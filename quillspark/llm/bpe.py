@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .idfiles import tokenizer_path
 from .lexicon import Lexicon, compile_lexicon
-from .shared import documents, shared_dir, write_file
-from .tokens import CACHE_LENGTH, CACHE_PIECES, TwoAges
+from .shared import documents, shared_dir, slices, write_file
+from .tokens import CACHE_LENGTH, CACHE_PIECES, ODD, TwoAges, groups, pieces_of
 
 #: Words in the lexicon at most; a bound on its size, not on the words that are encoded.
 LEXICON_WORDS = 32_768
@@ -39,9 +39,6 @@ LEXICON_WORDS = 32_768
 COUNT_PIECES = 200_000
 END = "</w>"
 
-_BLANK = re.compile("[ \n]+")
-#: What the quick path may hold: characters that normalisation leaves alone but for their case.
-_ODD = re.compile("[^\x21-\x7e¡-įı-ɏ]|<\\|")
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -80,11 +77,11 @@ class WordBPE:
         self.strings = [strings[i] for i in range(len(strings))]
         self.library = Tokenizer.from_file(path)
         self.lexicon: Lexicon | None = None
-        self.pieces = TwoAges(CACHE_PIECES)
+        self.pieces, self.known = TwoAges(CACHE_PIECES), dict(self.special)
 
     def words(self, piece: str) -> list[bytes]:
         """The piece's pre-tokens as UTF-8; a special token stands as itself, as str."""
-        if not _ODD.search(piece):
+        if not ODD.search(piece):
             piece = piece.lower()
             return [piece.encode()] if piece.isalpha() else [w.encode() for w in _WORD.findall(piece)]
         out = []
@@ -136,21 +133,26 @@ class WordBPE:
                 heapq.heappush(heap, (x, before[i]))
         return [i for i in ids if i >= 0]
 
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        parts = [self.words(p) for p in pieces]
+        if len(self.known) > CACHE_PIECES // 2:
+            self.known = dict(self.special)
+        known = self.known
+        new = [w for w in set().union(*parts) if w not in known]
+        places = self.lexicon.places(new) if self.lexicon else np.full(len(new), -1)
+        for w, place in zip(new, places.tolist()):
+            known[w] = self.lexicon.at(place).tobytes() if place >= 0 else np.array(self.merge(w), "<u4").tobytes()
+        got = {p: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for p, ws in zip(pieces, parts)}
+        for w in new:
+            if len(w) > CACHE_LENGTH:
+                del known[w]
+        return got
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [[p for p in _BLANK.split(t) if p] for t in texts]
-        cache = self.pieces
-        new = list({p for pieces in split for p in pieces if p not in cache and p not in cache.old})
-        parts = [self.words(p) for p in new]
-        todo = list({w for ws in parts for w in ws if isinstance(w, bytes)})
-        ids = dict(self.special)
-        places = self.lexicon.places(todo) if self.lexicon else np.full(len(todo), -1)
-        for w, place in zip(todo, places.tolist()):
-            ids[w] = self.lexicon.at(place).tobytes() if place >= 0 else np.array(self.merge(w), "<u4").tobytes()
-        fresh = {p: b"".join([ids[w] for w in ws]) for p, ws in zip(new, parts)}
-        out = [np.frombuffer(b"".join([fresh[p] if p in fresh else cache[p] for p in pieces]), "<u4") for pieces in split]
-        for p, v in fresh.items():
-            if len(p) <= CACHE_LENGTH:
-                cache.put(p, v)
+        out = []
+        for some in groups(texts):
+            found = self.pieces.look_up([pieces_of(t) for t in some], self._learn)
+            out += [np.frombuffer(b"".join(x), "<u4") for x in found]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -189,8 +191,7 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col="text") -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    held.update(_BLANK.split(t))
-                    held.pop("", None)
+                    held.update(pieces_of(t))
                     if len(held) > COUNT_PIECES:
                         yield counts()
         yield counts()
@@ -215,7 +216,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str, id_col="doc_
 
     def run(batches):
         enc = codec(tokenizer, lexicon)
-        for b in batches:
+        for b in slices(batches):
             ids = enc.encode([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "ids"])
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, partitions, shared_dir, write_file, write_table
+from .shared import documents, partitions, shared_dir, slices, write_file, write_table
 from .tokens import library_encoder
 
 MAGIC = b"QSI1"
@@ -83,25 +83,33 @@ def parse_shard(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if x else int(d) for d, x in zip(ids, null)], counts, ranks
 
 
+def id_kind(tokenizer: str) -> str:
+    """Two bytes hold the ids of most vocabularies, which keeps what is shuffled small."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", end_id: int | None = END_ID) -> DataFrame:
-    """doc_id and its ids, as little-endian unsigned 32-bit integers."""
-    tail = b"" if end_id is None else struct.pack("<I", end_id)
+    """doc_id and its ids, as little-endian unsigned integers of ``id_kind(tokenizer)``."""
+    kind = id_kind(tokenizer)
+    tail = np.array([] if end_id is None else [end_id], kind).tobytes()
 
     def run(batches):
         enc = library_encoder(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             ids = enc.ids([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.tobytes() + tail for i in ids], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.astype(kind).tobytes() + tail for i in ids], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def _frequencies(tokens: DataFrame) -> DataFrame:
+def _frequencies(tokens: DataFrame, kind: str) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0):
-                got = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+                got = np.bincount(np.frombuffer(x.as_buffer(), kind))
                 if len(got) > len(total):
                     got[: len(total)] += total
                     total = got
@@ -113,11 +121,11 @@ def _frequencies(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_id_files(tokens: DataFrame, folder: str, shards: int) -> list[dict]:
+def write_id_files(tokens: DataFrame, folder: str, shards: int, kind: str = "<u4") -> list[dict]:
     """Write (doc_id, ids) in ascending doc_id order; returns the manifest, a row a shard file."""
     spark = tokens.sparkSession
     # As many rows as the vocabulary has ids, however large the corpus.
-    by = _frequencies(tokens).orderBy(F.desc("n"), "id").select("id").collect()
+    by = _frequencies(tokens, kind).orderBy(F.desc("n"), "id").select("id").collect()
     order = np.array([r.id for r in by], "<u4")
     write_file(f"{folder}/ranks.u4", order.tobytes())
     rank_of = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
@@ -138,7 +146,7 @@ def write_id_files(tokens: DataFrame, folder: str, shards: int) -> list[dict]:
 
         for b in batches:
             for d, x in zip(b.column(0).to_pylist(), b.column(1)):
-                v = np.frombuffer(x.as_buffer(), "<u4")
+                v = np.frombuffer(x.as_buffer(), kind)
                 ids.append(d)
                 counts.append(len(v))
                 parts.append(v)
@@ -195,8 +203,9 @@ def tokenizer_path() -> str:
 
 def op1_token_files(spark, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
-    tokens = write_table(encode_documents(documents(spark, sf_dir), tokenizer_path()))
-    manifest = write_id_files(tokens, folder, partitions(spark))
+    path = tokenizer_path()
+    tokens = write_table(encode_documents(documents(spark, sf_dir), path))
+    manifest = write_id_files(tokens, folder, partitions(spark), id_kind(path))
     back = read_id_files(spark, folder, manifest)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

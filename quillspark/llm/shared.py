@@ -80,3 +80,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut to fewer rows, so that what a step makes of one stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)

@@ -9,35 +9,70 @@ from __future__ import annotations
 
 import os
 import re
+from operator import itemgetter
 
 import numpy as np
 
-#: Pieces kept per worker, in two generations; older than both means encoding again.
-CACHE_PIECES = 600_000
+#: Pieces kept per worker, in two generations (and half as many lower-case words); older means encoding again.
+CACHE_PIECES = 800_000
 #: Longer pieces repeat too rarely to be kept.
 CACHE_LENGTH = 40
-_BLANK = re.compile("[ \n]+")
 
 
-class TwoAges(dict):
-    """A dict of bounded size: when the young half is full, it becomes the old half."""
+#: Characters that these vocabularies' normalisation leaves alone but for their case.
+ODD = re.compile("[^\x21-\x7e\u00a1-\u012f\u0131-\u024f]|<\\|")
+
+
+class TwoAges:
+    """Values of recent pieces, in two generations: when the young one is full, it becomes the old."""
 
     def __init__(self, most: int):
-        self.most, self.old = most // 2, {}
+        self.most, self.young, self.old = most // 2, {}, {}
+
+    def look_up(self, split: list[list[str]], learn) -> list[list]:
+        """The values of all pieces of each list; ``learn`` gives a dict for those that aren't held."""
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out, gaps, new = [], [], set()
+        for pieces in split:
+            values = list(map(young.get, pieces))
+            missing = [i for i, v in enumerate(values) if v is None]
+            out.append(values)
+            gaps.append(missing)
+            new.update([pieces[i] for i in missing])
+        unknown = []
+        for p in new:
+            if (v := old.get(p)) is None:
+                unknown.append(p)
+            else:
+                young[p] = v
+        if unknown:
+            young.update(learn(unknown))
+        for pieces, values, missing in zip(split, out, gaps):
+            for i in missing:
+                values[i] = young[pieces[i]]
+        for p in unknown:
+            if len(p) > CACHE_LENGTH:
+                del young[p]
+        return out
+
 
-    def __missing__(self, key):
-        value = self.old[key]
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+def groups(texts: list[str], most: int = 2 << 20):
+    """Runs of texts of a bounded length together."""
+    held, total = [], 0
+    for t in texts:
+        if held and total + len(t) > most:
+            yield held
+            held, total = [], 0
+        held.append(t)
+        total += len(t)
+    if held:
+        yield held
 
-    def put(self, key, value):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+
+def pieces_of(text: str) -> list[str]:
+    return [p for p in text.replace("\n", " ").split(" ") if p]
 
 
 class LibraryEncoder:
@@ -50,35 +85,49 @@ class LibraryEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.pieces = TwoAges(CACHE_PIECES)
+        self.pieces, self.known = TwoAges(CACHE_PIECES), {}
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces: many in one text, cut apart by where their tokens begin."""
         got = {}
-        for lo in range(0, len(pieces), 512):
-            part = pieces[lo : lo + 512]
-            if all(map(str.isascii, part)):  # offsets are code points of the given text
-                starts = np.cumsum([0] + [len(p) + 1 for p in part])
-                e = self.tok.encode(" ".join(part), add_special_tokens=False)
-                first = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.offsets))
-                cut = np.searchsorted(first, starts)
-                ids = np.asarray(e.ids, "<u4")
-                got.update(zip(part, [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]))
+        for lo in range(0, len(pieces), 128):
+            part = pieces[lo : lo + 128]
+            starts = np.cumsum([0] + [len(p) + 1 for p in part])
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            first = np.fromiter(map(itemgetter(0), e.offsets), np.int64)
+            ids = np.array(e.ids, "<u4").tobytes()
+            cut = (np.searchsorted(first, starts) * 4).tolist()
+            got.update(zip(part, [ids[a:b] for a, b in zip(cut, cut[1:])]))
+        return got
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """A plain word has the ids of its lower case, then those of the points and commas that end it."""
+        words, tails = [], []
+        for p in pieces:
+            word = p.rstrip(".,")
+            if word.isalpha() and (word.isascii() or not ODD.search(word)):
+                words.append(word.lower())
+                tails.append(p[len(word) :])
             else:
-                for p, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)):
-                    got[p] = np.asarray(e.ids, "<u4").tobytes()
+                words.append(p)
+                tails.append("")
+        if len(self.known) > CACHE_PIECES // 2:
+            self.known = {}
+        known = self.known
+        if new := list(set(words).union(tails).difference(known, ("",))):
+            known.update(self._encode(new))
+        known[""] = b""
+        got = {p: known[w] + known[t] for p, w, t in zip(pieces, words, tails)}
+        for w in new:
+            if len(w) > CACHE_LENGTH:
+                del known[w]
         return got
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [[p for p in _BLANK.split(t) if p] for t in texts]
-        cache = self.pieces
-        new = {p for pieces in split for p in pieces if p not in cache and p not in cache.old}
-        fresh = self._learn(list(new))
         out = []
-        for pieces in split:
-            out.append(np.frombuffer(b"".join([fresh[p] if p in fresh else cache[p] for p in pieces]), "<u4"))
-        for p, v in fresh.items():
-            if len(p) <= CACHE_LENGTH:
-                cache.put(p, v)
+        for some in groups(texts):
+            found = self.pieces.look_up([pieces_of(t) for t in some], self._learn)
+            out += [np.frombuffer(b"".join(x), "<u4") for x in found]
         return out
 
 
