@@ -30,6 +30,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,11 @@ from .shared import documents, partitions, slices, write_table
 SKETCH = 1 << 20
 #: Groups of a list that one task compares with each other.
 BLOCK = 4000
-#: Rows up to which the ids of documents to verify are broadcast (16 bytes each).
+#: Lists up to this length are compared whole at once.
+SHORT = 8
+#: Partners of one document that a task compares with it.
+PARTNERS = 200
+#: Pairs up to which the table of documents to verify is broadcast (about 50 bytes each).
 BROADCAST_IDS = 500_000
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _BLANKS = bytes(range(256)).translate(bytes.maketrans(b"\t\n\v\f\r", b"     "))
@@ -55,22 +60,18 @@ class Shingler:
     def __init__(self, n: int):
         self.n, self.words = n, {}
 
-    def _word_hash(self, w: bytes) -> int:
-        from hashlib import blake2b
-
+    def _word_hash(self, w: bytes) -> bytes:
         if len(self.words) > 400_000:
             self.words.clear()
-        h = self.words[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
+        h = self.words[w] = blake2b(w, digest_size=8).digest()
         return h
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode().translate(_LOWER).split(b" ") if text else []
-        known = self.words
-        get = known.get
-        values = [get(w) or self._word_hash(w) for w in words if w]
-        if not values:
+        get, new = self.words.get, self._word_hash
+        h = np.frombuffer(b"".join([get(w) or new(w) for w in words if w]), np.uint64)
+        if not len(h):
             return np.zeros(0, np.uint64)
-        h = np.array(values, np.uint64)
         n = min(self.n, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
@@ -93,8 +94,8 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     def run(batches):
         shingles, total = Shingler(n), np.zeros(SKETCH, np.uint32)
         for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                np.add.at(total, (shingles(t) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+            found = np.concatenate([shingles(t) for t in b.column(0).to_pylist()] or [np.zeros(0, np.uint64)])
+            total += np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
         for k in range(0, SKETCH, width):
             part = total[k : k + width]
             if part.any():
@@ -118,14 +119,12 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, n: int, threshold: Fraction, sketch) -> DataFrame:
-    """doc_id, n_shingles, sig (of the whole set) and prefix (hashes in order) of every document."""
+    """doc_id, n_shingles, sig (of the whole set), prefix (hashes in order) and its own digest pkey."""
 
     def run(batches):
-        from hashlib import blake2b
-
         shingles, often = Shingler(n), sketch.value
         for b in slices(batches):
-            count, sig, prefix = [], [], []
+            count, sig, prefix, pkey = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t)
                 count.append(len(s))
@@ -133,25 +132,28 @@ def _prefixes(docs: DataFrame, n: int, threshold: Fraction, sketch) -> DataFrame
                 k = prefix_size(len(s), threshold)
                 order = np.lexsort((s, often[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:k]
                 prefix.append(s[order].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n_shingles", "sig", "prefix"])
+                pkey.append(blake2b(prefix[-1], digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary()), pa.array(pkey, pa.binary())], ["doc_id", "n_shingles", "sig", "prefix", "pkey"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary, prefix binary, pkey binary")
 
 
 def _postings(groups: DataFrame) -> DataFrame:
-    """token, gid, n, pos for every hash of every group's prefix that another group has too."""
+    """token, gid, n, pos, several for every hash of every group's prefix; several: the group has more members than one."""
 
     def run(batches):
         for b in slices(batches, 500):
-            gids, ns = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not b.num_rows:
+                continue
+            gids, ns, several = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
             parts = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
             sizes = np.array([len(p) for p in parts])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(parts) if len(parts) else np.zeros(0, np.int64)), pa.array(np.repeat(gids, sizes)), pa.array(np.repeat(ns, sizes)), pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]) if len(parts) else np.zeros(0, np.int32))],
-                ["token", "gid", "n", "pos"],
+                [pa.array(np.concatenate(parts)), pa.array(np.repeat(gids, sizes)), pa.array(np.repeat(ns, sizes)), pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])), pa.array(np.repeat(several, sizes))],
+                ["token", "gid", "n", "pos", "several"],
             )
 
-    return groups.select("gid", "n", "prefix").mapInArrow(run, "token long, gid long, n long, pos int")
+    return groups.select("gid", "n", "prefix", "several").mapInArrow(run, "token long, gid long, n long, pos int, several boolean")
 
 
 def _passes(n1, p1, n2, p2, num: int, den: int):
@@ -183,6 +185,7 @@ def _lists(batches, names):
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_FIRST = pa.schema([("pair", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("pos", pa.int32())])
 
 
 def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -191,30 +194,51 @@ def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
 
 
-def _star_pairs(postings: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
-    """Pairs of each list's pivot, the group whose shared hash comes first, with its other groups that pass."""
+def _first_round(postings: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
+    """Rows of two kinds from one pass over the lists of each shared hash.
+
+    Pairs (a: pivot, b: other) that pass: all of a short list, else each band's pivot, the group whose
+    hash comes first, with the rest of its band. And the rows (a: token, b: gid, n, pos) of the longer
+    lists, which the second round needs. Lists of one group leave nothing.
+    """
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches):
-        found, size = [], 0
-        for _, (_, gid, n, pos) in _lists(batches, ["token", "gid", "n", "pos"]):
+        pairs, rows, size = [], [], 0
+
+        def batch():
+            a = np.concatenate([x[0] for x in pairs] + [x[0] for x in rows])
+            b = np.concatenate([x[1] for x in pairs] + [x[1] for x in rows])
+            k = sum(len(x[0]) for x in pairs)
+            n = np.concatenate([np.zeros(k, np.int64)] + [x[2] for x in rows])
+            pos = np.concatenate([np.zeros(k, np.int32)] + [x[3] for x in rows])
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(a)) < k), pa.array(a), pa.array(b), pa.array(n), pa.array(pos)], schema=_FIRST)
+
+        for _, (token, gid, n, pos, several) in _lists(batches, ["token", "gid", "n", "pos", "several"]):
             if len(gid) < 2:
                 continue
-            # Sizes in bands no wider than the size filter; a pivot for each band.
-            band = np.floor(np.log(n) / np.log(den / num)).astype(np.int64)
-            order = np.lexsort((gid, pos, band))
-            gid, n, pos, band = gid[order], n[order], pos[order], band[order]
-            first = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
-            pivot = np.repeat(first, np.diff([*first, len(gid)]))
-            ok = (pivot != np.arange(len(gid))) & _passes(n, pos, n[pivot], pos[pivot], num, den)
-            found.append((gid[pivot[ok]], gid[ok]))
-            size += int(ok.sum())
+            if len(gid) <= SHORT and not several.any():
+                i, j = np.triu_indices(len(gid), 1)
+            else:
+                # Sizes in bands no wider than the size filter; a pivot for each band.
+                band = np.floor(np.log(n) / np.log(den / num)).astype(np.int64)
+                order = np.lexsort((gid, pos, band))
+                gid, n, pos, band = gid[order], n[order], pos[order], band[order]
+                first = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
+                i, j = np.repeat(first, np.diff([*first, len(gid)])), np.arange(len(gid))
+                rows.append((token, gid, n, pos))
+                size += len(gid)
+            ok = (i != j) & _passes(n[i], pos[i], n[j], pos[j], num, den)
+            if ok.any():
+                pairs.append((gid[i[ok]], gid[j[ok]]))
+                size += int(ok.sum())
             if size > 100_000:
-                yield _pair_batch(found)
-                found, size = [], 0
-        yield _pair_batch(found)
+                yield batch()
+                pairs, rows, size = [], [], 0
+        if size:
+            yield batch()
 
-    return postings.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+    return postings.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, "pair boolean, a long, b long, n long, pos int")
 
 
 def _cross_pairs(postings: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
@@ -253,34 +277,53 @@ def _cross_pairs(postings: DataFrame, threshold: Fraction, parts: int) -> DataFr
     return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+def _verify(docs: DataFrame, pairs: DataFrame, n: int, threshold: Fraction, parts: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold.
+
+    Each set is made once and sent once for each pair in which it is b, with the pair's a; those of
+    many partners are dealt out, and the set of a goes to every part of them.
+    """
     num, den = threshold.numerator, threshold.denominator
-    ids = write_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTNERS)).cast("int").alias("k"))
+    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"))
+    as_b = dealt.select(F.col("b").alias("id"), F.struct("a", "salt", F.lit(True).alias("partner")).alias("to"))
+    as_a = counts.select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt")).select("id", F.struct(F.col("id").alias("a"), "salt", F.lit(False).alias("partner")).alias("to"))
+    wanted = write_table(as_b.unionByName(as_a).groupBy("id").agg(F.collect_list("to").alias("to")))
+    right = F.broadcast(wanted) if pairs.count() <= BROADCAST_IDS else wanted
+    texts = docs.join(right, docs["doc_id"] == wanted["id"]).select("id", "text", "to")
 
     def sets(batches):
         shingles = Shingler(n)
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "hashes"])
+        for b in slices(batches, 200):
+            rows = []
+            for i, t, to in zip(*[c.to_pylist() for c in b.columns]):
+                raw = shingles(t).tobytes()
+                rows += [(x["a"], x["salt"], x["partner"], i, raw) for x in to]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()])], ["a", "salt", "partner", "id", "hashes"])
 
-    held = write_table(texts.mapInArrow(sets, "id long, hashes binary").dropDuplicates(["id"]))
-    left = held.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    right = held.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    sent = texts.mapInArrow(sets, "a long, salt int, partner boolean, id long, hashes binary")
 
     def compare(batches):
-        for b in slices(batches, 500):
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return joined.mapInArrow(compare, "a long, b long")
+        key, own = None, []
+        for b in batches:
+            found = []
+            for a, salt, partner, i, h in zip(*[b.column(k).to_pylist() for k in range(4)], b.column(4)):
+                h = np.frombuffer(h.as_buffer(), np.uint64)
+                if (a, salt) != key:
+                    key, own = (a, salt), []
+                if not partner:  # they sort before the partners
+                    own.append(h)
+                    continue
+                for x in own:
+                    at = np.minimum(np.searchsorted(x, h), len(x) - 1)
+                    both = int((x[at] == h).sum())
+                    if den * both >= num * (len(x) + len(h) - both):
+                        found.append((a, i))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())], schema=_PAIR)
+
+    return sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "partner").mapInArrow(compare, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -315,32 +358,32 @@ def components(docs: DataFrame, n: int, threshold: Fraction, id_col="doc_id", te
     sketch = spark.sparkContext.broadcast(_sketch(docs, n))
     every = write_table(_prefixes(docs, n, threshold, sketch))
 
-    # 1: classes of equal sets.
+    # 1: classes of equal sets; 3: groups of equal prefix and size.
     some = every.where("n_shingles > 0")
-    classes = write_table(some.groupBy("n_shingles", "sig").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")))
-    # 3: groups of equal prefix and size; their members are compared like the groups of a list.
-    grouped = classes.groupBy("n_shingles", "prefix").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members"))
-    groups = write_table(grouped.select("gid", F.col("n_shingles").alias("n"), "prefix", "members"))
-    member = write_table(classes.join(groups.where("members > 1").select(F.col("n").alias("n_shingles"), "prefix", "gid"), ["n_shingles", "prefix"]).select("gid", "rep", F.col("n_shingles").alias("n")))
-    # Members stand in the list of their group, at position 0: any two pass the filter.
-    inside = member.select(F.xxhash64("gid", F.lit("members")).alias("token"), F.col("rep").alias("gid"), "n", F.lit(0).cast("int").alias("pos"))
-
-    # 4 and 5, first round: pivots.
-    posts = write_table(_postings(groups))
-    shared = posts.groupBy("token").count().where("count > 1").select(F.col("token").alias("t"))
-    posts = write_table(posts.join(shared, F.col("token") == F.col("t"), "left_semi"))
-    # Groups with several members put each of them in the lists.
-    alone = posts.join(member.select(F.col("gid").alias("g")).distinct(), F.col("gid") == F.col("g"), "left_anti")
-    spread = posts.join(member.select(F.col("gid").alias("g"), "rep"), F.col("gid") == F.col("g")).select("token", F.col("rep").alias("gid"), "n", "pos")
-    lists = write_table(alone.unionByName(spread).unionByName(inside))
-    tried = write_table(_star_pairs(lists, threshold, parts))
-    links = write_table(_verify(docs, tried, n, threshold))
+    classes = write_table(some.groupBy("n_shingles", "sig").agg(F.min("doc_id").alias("rep"), F.first("pkey").alias("pkey")))
+    groups = write_table(classes.groupBy("n_shingles", "pkey").agg(F.min("rep").alias("gid"), (F.count(F.lit(1)) > 1).alias("several")))
+    member = classes.join(groups.where("several"), ["n_shingles", "pkey"]).select("gid", "rep", F.col("n_shingles").alias("n"))
+    member = write_table(member)
+
+    # 4, first round: pairs of groups, expanded to their members.
+    held = groups.select("gid", "several", F.col("n_shingles").alias("n"), F.col("pkey").alias("k"))
+    prefixes = some.join(held, (F.col("doc_id") == F.col("gid")) & (F.col("pkey") == F.col("k"))).select("gid", "n", "prefix", "several")
+    first = write_table(_first_round(_postings(prefixes), threshold, parts))
+    pairs = first.where("pair").select("a", "b").distinct()
+    partners = pairs.join(member.select(F.col("gid").alias("g"), "rep"), F.col("b") == F.col("g"), "left").select("a", F.coalesce("rep", "b").alias("b"))
+    tried = write_table(partners.unionByName(member.select(F.col("gid").alias("a"), F.col("rep").alias("b"))).where("a <> b").distinct())
+    links = write_table(_verify(docs, tried, n, threshold, parts))
     roots = connected(links)
 
-    # Second round: everything in the lists that is not connected yet.
-    placed = lists.join(roots, F.col("gid") == F.col("node"), "left").select("token", "gid", "n", "pos", F.coalesce("root", "gid").alias("root"))
-    rest = write_table(_cross_pairs(write_table(placed), threshold, parts).join(tried, ["a", "b"], "left_anti"))
-    more = write_table(_verify(docs, rest, n, threshold))
+    # 4, second round: everything in the longer lists, and in groups, that is not connected yet.
+    lists = first.where("NOT pair").select(F.col("a").alias("token"), F.col("b").alias("g"), "n", "pos")
+    lists = lists.join(member.select(F.col("gid").alias("m"), "rep"), F.col("g") == F.col("m"), "left").select("token", F.coalesce("rep", "g").alias("gid"), "n", "pos")
+    # Members stand in the list of their group, at position 0: any two pass the filter.
+    lists = lists.unionByName(member.select(F.xxhash64("gid", F.lit("members")).alias("token"), F.col("rep").alias("gid"), "n", F.lit(0).cast("int").alias("pos")))
+    placed = write_table(lists.join(roots, F.col("gid") == F.col("node"), "left").select("token", "gid", "n", "pos", F.coalesce("root", "gid").alias("root")))
+    both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = write_table(_cross_pairs(placed, threshold, parts).join(both, ["a", "b"], "left_anti"))
+    more = write_table(_verify(docs, rest, n, threshold, parts))
     if not more.isEmpty():
         roots = connected(links.unionByName(more))
 
