@@ -35,8 +35,8 @@ _DOC_LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS content, ge
 
 
 @query(f"""
-SELECT doc_id, line, at - strlen(content) - w AS "start", at - w AS "end", at AS full_end, content FROM (
-  SELECT *, CAST(sum(strlen(content) + w) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS at
+SELECT doc_id, line, e - strlen(content) - w AS "start", e - w AS "end", e AS full_end, content FROM (
+  SELECT *, CAST(sum(strlen(content) + w) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS e
   FROM (SELECT *, CASE WHEN line < n - 1 THEN 1 ELSE 0 END AS w FROM {_DOC_LINES}))""")
 def line_index(spark, sf_dir):
     return lines.line_table(c.documents(spark, sf_dir))
