@@ -36,7 +36,7 @@ from .tokens import CACHE_LENGTH, CACHE_PIECES, ODD, TwoAges, groups, pieces_of
 #: Words in the lexicon at most; a bound on its size, not on the words that are encoded.
 LEXICON_WORDS = 32_768
 #: Distinct pieces that a counting task holds before it sends their counts on.
-COUNT_PIECES = 200_000
+COUNT_PIECES = 300_000
 END = "</w>"
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -81,9 +81,12 @@ class WordBPE:
 
     def words(self, piece: str) -> list[bytes]:
         """The piece's pre-tokens as UTF-8; a special token stands as itself, as str."""
+        word = piece.rstrip(".,")
+        if word.isalpha() and (word.isascii() or not ODD.search(word)):
+            whole = [word.lower().encode()]
+            return whole if len(word) == len(piece) else [*whole, piece[len(word) :].encode()]
         if not ODD.search(piece):
-            piece = piece.lower()
-            return [piece.encode()] if piece.isalpha() else [w.encode() for w in _WORD.findall(piece)]
+            return [w.encode() for w in _WORD.findall(piece.lower())]
         out = []
         for part in self.split_special.split(piece):
             if part in self.special:
@@ -188,7 +191,7 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col="text") -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 if t:
                     held.update(pieces_of(t))
@@ -228,28 +231,29 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         enc = codec(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.decode(np.frombuffer(x.as_buffer(), "<u4")) for x in b.column(1)], pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded and decoded in one worker."""
+    lexicon = build_lexicon(docs, tokenizer)
 
     def run(batches):
-        enc = codec(tokenizer)
-        for b in batches:
+        enc = codec(tokenizer, lexicon)
+        numbers = [str(i) for i in range(len(enc.strings))]
+        for b in slices(batches):
             n, sums, back = [], [], []
-            for x in b.column(1):
-                ids = np.frombuffer(x.as_buffer(), "<u4")
+            for ids in enc.encode([t or "" for t in b.column(1).to_pylist()]):
                 n.append(len(ids))
-                sums.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
+                sums.append(hashlib.sha256(" ".join(map(numbers.__getitem__, ids.tolist())).encode()).hexdigest())
                 back.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    encoded = encode_documents(docs, tokenizer, build_lexicon(docs, tokenizer))
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
