@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, slices
 
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4)
@@ -153,7 +153,7 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", mo
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches, 500):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 used, n = ngram_counts(text)
                 if lang not in total:
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") ->
 
     def run(batches):
         m = Model(*held.value)
-        for b in batches:
+        for b in slices(batches, 500):
             found = [m.mixture(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x[0][0] if x else UNDETERMINED for x in found], pa.string()), pa.array([min(1.0, x[0][1]) if x else 0.0 for x in found], pa.float64()), pa.array([[{"lang": a, "share": s} for a, s in x] for x in found], kind)],
@@ -206,7 +206,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col="text", least_share:
 
     def run(batches):
         m = Model(*held.value)
-        for b in batches:
+        for b in slices(batches, 500):
             b = b.select(names)
             found = [m.mixture(t) for t in b.column(names.index(text_col)).to_pylist()]
             keep = [bool(x) and x[0][1] >= least_share for x in found]
