@@ -20,10 +20,10 @@ def parse_stream(sources: DataFrame, columns=("status",)) -> DataFrame:
     return syntax(sources, columns)
 
 
-def complete_inputs(lines: DataFrame, timeout: str = "10 minutes") -> DataFrame:
+def complete_inputs(lines: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
     """session, n, status, text: inputs of (session, seq, line) rows, each given out once it needs no more lines.
 
-    Lines of a batch are taken in the order of ``seq``. A session without lines for ``timeout`` gives
+    Lines of a batch are taken in the order of ``seq``. A session without lines for ``timeout_ms`` gives
     out what it holds.
     """
 
@@ -46,7 +46,7 @@ def complete_inputs(lines: DataFrame, timeout: str = "10 minutes") -> DataFrame:
                         n += 1
                     held = ""
             state.update((held, n))
-            state.setTimeoutDuration(timeout)
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["session", "n", "status", "text"])
 
     return lines.groupBy("session").applyInPandasWithState(step, "session string, n long, status string, text string", "held string, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -85,13 +85,11 @@ def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([("s", 0, "f <- function(x) {"), ("s", 1, "x"), ("t", 0, ")"), ("s", 2, "}"), ("s", 3, "y")], "session string, seq long, line string").coalesce(1).write.json(str(src))
     stream = spark.readStream.schema("session string, seq long, line string").json(str(src))
-    q = complete_inputs(stream).writeStream.format("memory").queryName("repl_out").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = complete_inputs(stream).writeStream.format("memory").queryName("repl_out").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     got = {(r.session, r.n): (r.status, r.text) for r in spark.table("repl_out").collect()}
     assert got == {("s", 0): ("Complete", "f <- function(x) {\nx\n}\n"), ("s", 1): ("Complete", "y\n"), ("t", 0): ("Invalid", ")\n")}
     texts = stream.selectExpr("seq AS doc_id", "line AS text")
-    q = parse_stream(texts).writeStream.format("memory").queryName("parsed_out").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = parse_stream(texts).writeStream.format("memory").queryName("parsed_out").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     assert spark.table("parsed_out").count() == 5
