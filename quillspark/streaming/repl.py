@@ -20,11 +20,11 @@ def parse_stream(sources: DataFrame, columns=("status",)) -> DataFrame:
     return syntax(sources, columns)
 
 
-def complete_inputs(lines: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
+def complete_inputs(lines: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """session, n, status, text: inputs of (session, seq, line) rows, each given out once it needs no more lines.
 
-    Lines of a batch are taken in the order of ``seq``. A session without lines for ``timeout_ms`` gives
-    out what it holds.
+    Lines of a batch are taken in the order of ``seq``. With ``timeout_ms``, a session without lines
+    for so long gives out what it holds; such a query keeps triggering, as it must watch the clock.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -46,7 +46,8 @@ def complete_inputs(lines: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
                         n += 1
                     held = ""
             state.update((held, n))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["session", "n", "status", "text"])
 
-    return lines.groupBy("session").applyInPandasWithState(step, "session string, n long, status string, text string", "held string, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return lines.groupBy("session").applyInPandasWithState(step, "session string, n long, status string, text string", "held string, n long", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
