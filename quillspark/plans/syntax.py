@@ -8,6 +8,7 @@ tree. The function runs once a query; flat tables are ``inline`` of its columns,
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,24 +67,39 @@ def sql_type(t: pa.DataType) -> str:
     return {_S: "string", _L: "bigint", _I: "int", _B: "boolean"}[t]
 
 
-def _token_rows(lexed) -> list[dict]:
-    out = []
-    for i, (kind, a, z) in enumerate(zip(lexed.kinds, lexed.starts, lexed.ends)):
-        n = lexed.notes.get(i, {})
-        out.append({"tok": i, "kind": kind, "kind_id": ID[kind], "start": a, "end": z, "text": lexed.token_text(i), "tag": n.get("tag"), "line_ending": n.get("line_ending"), "comment": n.get("comment"), "indent": n.get("indent"), "dir_physical": n.get("physical"), "dir_logical": n.get("logical"), "dir_source": n.get("source")})
-    return out
+_NOTES = {"tag": "tag", "line_ending": "line_ending", "comment": "comment", "indent": "indent", "dir_physical": "physical", "dir_logical": "logical", "dir_source": "source"}
 
 
-def _element_rows(p, flat) -> list[dict]:
-    out = []
-    for i, kind in enumerate(flat.kind):
-        parent, token = flat.parent[i], flat.token[i]
-        path = [] if parent is None else [*out[parent]["path"], flat.child[i]]
-        text = None if token is None else "" if token == MISSING else p.lexed.text if p.whole_error else p.lexed.token_text(token)
-        out.append({"id": i, "parent_id": parent, "child_index": flat.child[i], "depth": flat.depth[i], "is_token": token is not None, "kind": kind, "kind_id": ID[kind], "start": flat.start[i], "end": flat.end[i], "last_desc": flat.last[i], "text": text, "path": path})
+def _token_columns(lexed) -> dict[str, list]:
+    n = len(lexed.kinds)
+    out = {"tok": range(n), "kind": lexed.kinds, "kind_id": list(map(ID.__getitem__, lexed.kinds)), "start": lexed.starts, "end": lexed.ends, "text": [lexed.text[a:z] for a, z in zip(lexed.char_starts, lexed.char_ends)]}
+    out |= {c: [None] * n for c in _NOTES}
+    for i, note in lexed.notes.items():
+        for column, key in _NOTES.items():
+            out[column][i] = note.get(key)
     return out
 
 
+def _element_columns(p, flat) -> dict[str, list]:
+    paths: list = []
+    for parent, child in zip(flat.parent, flat.child):
+        paths.append([] if parent is None else [*paths[parent], child])
+    pieces = [p.lexed.text] if p.whole_error else [p.lexed.text[a:z] for a, z in zip(p.lexed.char_starts, p.lexed.char_ends)]
+    text = [None if t is None else "" if t == MISSING else pieces[t] for t in flat.token]
+    n = len(flat.kind)
+    return {"id": range(n), "parent_id": flat.parent, "child_index": flat.child, "depth": flat.depth, "is_token": [t is not None for t in flat.token], "kind": flat.kind, "kind_id": list(map(ID.__getitem__, flat.kind)), "start": flat.start, "end": flat.end, "last_desc": flat.last, "text": text, "path": paths}
+
+
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow column; documents given as columns of their own are strung together without row objects."""
+    if not values or not isinstance(values[0], dict) or not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    fields = list(kind.value_type)
+    sizes = [len(v[fields[0].name]) for v in values]
+    parts = [pa.array(list(chain.from_iterable(v[f.name] for v in values)), f.type) for f in fields]
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), pa.StructArray.from_arrays(parts, fields=fields))
+
+
 def _rox_elements(s) -> list[dict]:
     out: list[dict] = []
     at = 0
@@ -125,7 +141,7 @@ def facts(text: str, want: set[str], options: ParserOptions, side: sidecar.Sidec
             out["diagnostics"] = [{"ord": i, "code": d.code, "severity": "Error", "start": d.start, "end": d.end, "message": d.message, "recovery": d.recovery, "recovery_start": d.recovery_range()[0], "recovery_end": d.recovery_range()[1], "recovery_token": d.recovery_token} for i, d in enumerate(p.diagnostics)]
         flat = flatten(p) if want & ({"elements", "tree64", "snapshot_digest", "tree_digest"} | _SIDE) else None
         if "elements" in want:
-            out["elements"] = _element_rows(p, flat)
+            out["elements"] = _element_columns(p, flat)
         if "tree64" in want:
             out["tree64"] = f"{canon.tree_hash64(p, flat):016x}"
         if "snapshot_digest" in want:
@@ -155,7 +171,7 @@ def facts(text: str, want: set[str], options: ParserOptions, side: sidecar.Sidec
             if "mappings_digest" in want:
                 out["mappings_digest"] = canon.digest_input(b"roxygen-mappings", (1, sidecar.mapping_frames([m for e in s.embedded for m in e.mappings])))
     if want & _LEX:
-        out["tokens"] = _token_rows(lexed) if "tokens" in want else None
+        out["tokens"] = _token_columns(lexed) if "tokens" in want else None
         out["lex_diagnostics"] = [{"ord": i, "code": d.code, "start": d.start, "end": d.end, "message": d.message} for i, d in enumerate(lexed.diagnostics)]
         out["lex_flags"] = {"had_errors": lexed.had_errors, "diagnostics_truncated": lexed.diagnostics_truncated, "tokens_truncated": lexed.tokens_truncated}
     return out
@@ -181,7 +197,7 @@ def syntax(sources: DataFrame, columns: Iterable[str], options: ParserOptions =
                 arrays = [b.column(0), *[b.column(taken.index(k)) for k in kept]]
                 for c in wanted:
                     values = [r[c] for r in rows]
-                    arrays.append(pa.array(canon.absorb_many(values) if c in _DIGESTS else values, COLUMNS[c]))
+                    arrays.append(_array(canon.absorb_many(values) if c in _DIGESTS else values, COLUMNS[c]))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *kept, *wanted])
 
     types = {f.name: f.dataType.simpleString() for f in sources.schema}
