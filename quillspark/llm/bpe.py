@@ -7,8 +7,8 @@ rank. The ids are those of the ``tokenizers`` library for the same vocabulary fi
 
 Defined results: null and empty texts have no ids and decode to the empty text; texts of any
 length are encoded whole; repeated rows give repeated results; an empty table gives an empty
-result; other columns are ignored. Equal counts are ordered by the word, so reruns agree; which
-words the lexicon holds never changes the ids.
+result; other columns are ignored. Words of equal counts are all in the lexicon or all out; which
+words it holds never changes the ids.
 """
 
 from __future__ import annotations
@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from .idfiles import tokenizer_path
 from .lexicon import Lexicon, compile_lexicon
-from .shared import documents, shared_dir, slices, write_file
-from .tokens import CACHE_LENGTH, CACHE_PIECES, ODD, TwoAges, groups, pieces_of
+from .shared import documents, shared_dir, slices, write_file, write_table
+from .tokens import CACHE_LENGTH, CACHE_WORDS, ODD, PieceTable, groups, pieces_of
 
 #: Words in the lexicon at most; a bound on its size, not on the words that are encoded.
 LEXICON_WORDS = 32_768
+#: Counts from here on are told apart by their logarithm only when the lexicon's words are chosen.
+HIGH = 65_536
 #: Distinct pieces that a counting task holds before it sends their counts on.
 COUNT_PIECES = 300_000
 END = "</w>"
@@ -77,7 +79,7 @@ class WordBPE:
         self.strings = [strings[i] for i in range(len(strings))]
         self.library = Tokenizer.from_file(path)
         self.lexicon: Lexicon | None = None
-        self.pieces, self.known = TwoAges(CACHE_PIECES), dict(self.special)
+        self.pieces, self.known = PieceTable(self._learn), dict(self.special)
 
     def words(self, piece: str) -> list[bytes]:
         """The piece's pre-tokens as UTF-8; a special token stands as itself, as str."""
@@ -138,7 +140,7 @@ class WordBPE:
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         parts = [self.words(p) for p in pieces]
-        if len(self.known) > CACHE_PIECES // 2:
+        if len(self.known) > CACHE_WORDS:
             self.known = dict(self.special)
         known = self.known
         new = [w for w in set().union(*parts) if w not in known]
@@ -152,11 +154,7 @@ class WordBPE:
         return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for some in groups(texts):
-            found = self.pieces.look_up([pieces_of(t) for t in some], self._learn)
-            out += [np.frombuffer(b"".join(x), "<u4") for x in found]
-        return out
+        return [ids for some in groups([t.encode() for t in texts]) for ids in self.pieces.look_up(some)]
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False): this vocabulary has no decoder."""
@@ -205,7 +203,18 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col="text") -> DataFrame:
 def build_lexicon(docs: DataFrame, tokenizer: str, text_col="text", most: int = LEXICON_WORDS) -> str:
     """Count, compile, write to the shared folder and send the file to executors; returns its name."""
     spark = docs.sparkSession
-    top = word_counts(docs, tokenizer, text_col).where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word").collect()
+    counts = write_table(word_counts(docs, tokenizer, text_col).where("n > 1"))
+    # How many words have each count (beyond HIGH, each step of its logarithm): a bounded table for
+    # the driver, which gives the level from which on the words fit.
+    level_of = F.when(F.col("n") <= HIGH, F.col("n")).otherwise(HIGH + F.floor(F.log2("n") * 256))
+    levels = {r.level: r.words for r in counts.groupBy(level_of.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()}
+    least, held = max(levels, default=0) + 1, 0
+    for level in sorted(levels, reverse=True):
+        held += levels[level]
+        if held > most:
+            break
+        least = level
+    top = counts.where(level_of >= least).select("word").collect()
     enc = WordBPE(tokenizer)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     uri = f"{shared_dir(spark)}/{name}"

@@ -185,3 +185,26 @@ def test_connected_components(spark):
             for x in joined:
                 root[x] = joined
     assert all(got.get(x, x) == min(g) for x, g in root.items())
+
+
+def test_piece_table():
+    r = random.Random(11)
+    words = ["".join(r.choice("abcß🦀.") for _ in range(r.randint(1, 70))) for _ in range(400)]
+    asked = []
+
+    def learn(pieces):
+        asked.extend(pieces)
+        return {p: np.frombuffer(p.encode(), np.uint8).astype("<u4").tobytes() for p in pieces}
+
+    table = tokens.PieceTable(learn, 150)  # begins anew several times
+    for _ in range(30):
+        texts = ["".join(r.choice(words) + r.choice((" ", "\n", "  ")) for _ in range(r.randint(0, 20))) for _ in range(10)]
+        for t, ids in zip(texts, table.look_up([t.encode() for t in texts])):
+            assert ids.tolist() == [b for p in t.split() for b in p.encode()]
+    assert table.look_up([]) == [] and [x.tolist() for x in table.look_up([b"", b" \n"])] == [[], []]
+    # Pieces of one key: told apart by their bytes.
+    same = tokens.PieceTable(learn, 50)
+    same.weights[:] = 0
+    got = same.look_up([b"ab cd ab xy ab"])
+    assert got[0].tolist() == [b for p in b"ab cd ab xy ab".split() for b in p]
+    assert same.look_up([b"cd ab"])[0].tolist() == list(b"cdab")
