@@ -42,7 +42,7 @@ from .shared import documents, partitions, slices, write_table
 #: Buckets of the frequency sketch (4 bytes each where it is used), whatever the corpus.
 SKETCH = 1 << 20
 #: Groups of a list that one task compares with each other.
-BLOCK = 4000
+BLOCK = 1000
 #: Lists up to this length are compared whole at once.
 SHORT = 8
 #: Partners of one document that a task compares with it.
