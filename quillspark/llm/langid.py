@@ -32,6 +32,8 @@ PENALTY = 12.0
 #: Of an n-gram's likelihood, what is left for text in no learned language.
 NOISE = 1e-3
 UNDETERMINED = "und"
+#: Share of the main language below which a document counts as in no language.
+LEAST_SHARE = 0.4
 #: Code points taken at once from a long text.
 _SLICE = 1 << 18
 _PRIMES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
@@ -196,7 +198,7 @@ def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col="text", least_share: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text_col="text", least_share: float = LEAST_SHARE) -> DataFrame:
     """The rows of ``docs``, all columns, with a learned language that holds ``least_share`` of the text.
 
     Texts without a letter go, and those that mix languages with no main one among them.

@@ -60,7 +60,7 @@ def test_pipeline_against_brute_force(spark, rows):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs)
-    kept = [r for r in docs.collect() if (m := model.mixture(r.text)) and m[0][1] >= 0.5]
+    kept = [r for r in docs.collect() if (m := model.mixture(r.text)) and m[0][1] >= langid.LEAST_SHARE]
     totals, seen = {}, {}
     for r in kept:
         totals[r.source] = totals.get(r.source, 0) + 1
