@@ -133,3 +133,18 @@ def validate(elements: DataFrame, diagnostics: DataFrame, sources: DataFrame) ->
     size = sources.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
     out = diagnostics.join(size, "doc_id").where("end > size OR recovery_end > size").select("doc_id", F.lit("OutOfBoundsDiagnostic").alias("violation"))
     return root.unionByName(as_node).unionByName(as_token).unionByName(other).unionByName(out)
+
+
+def violations(parsed: DataFrame) -> DataFrame:
+    """doc_id and the same violations as an array, from a parse with elements, diagnostics and text: no shuffle."""
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    joined = F.array_join(F.transform(F.filter("elements", lambda e: e["is_token"]), lambda e: e["text"]), "")
+    several = [
+        F.when(F.element_at("elements", 1)["kind"] != "SOURCE_FILE", F.array(F.lit("InvalidRoot"))),
+        F.transform(F.filter("elements", lambda e: ~e["is_token"] & (e["kind_id"] < 256)), lambda e: F.lit("TokenKindUsedAsNode")),
+        F.transform(F.filter("elements", lambda e: e["is_token"] & (e["kind_id"] >= 256)), lambda e: F.lit("NodeKindUsedAsToken")),
+        F.when(joined != F.coalesce("text", F.lit("")), F.array(F.lit("SourceMismatch"))),
+        F.transform(F.filter("diagnostics", lambda d: (d["end"] > size) | (d["recovery_end"] > size)), lambda d: F.lit("OutOfBoundsDiagnostic")),
+    ]
+    empty = F.array().cast("array<string>")
+    return parsed.select("doc_id", F.concat(*[F.coalesce(x, empty) for x in several]).alias("violations"))

@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from itertools import accumulate, chain
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,6 +207,14 @@ def syntax(sources: DataFrame, columns: Iterable[str], options: ParserOptions =
     return rows.mapInArrow(run, schema)
 
 
+def once(df: DataFrame) -> DataFrame:
+    """Keep a parse that several branches of a query use: in memory, then on disk; lost blocks are parsed again.
+
+    Call ``unpersist`` on what this returns when the query's results have been taken.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def table(sources: DataFrame, column: str, **more) -> DataFrame:
     """One of the array columns as a flat table: doc_id and its fields."""
     return syntax(sources, [column], **more).select("doc_id", F.inline(column))

@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 from .functions.grammar import ParserOptions
 from .functions.sidecar import SidecarOptions
 from .operators import checks, docs, lines, tree
-from .plans.syntax import diagnostics, elements, syntax, table, tokens
+from .plans.syntax import diagnostics, once, syntax, table, tokens
+from .plans.syntax import elements as parsed_elements
 from .sources import corpora as c
 from .sources import decode as d
 
+
+
+def elements(sources, **more):
+    """Elements for queries that join them with themselves: parsed once."""
+    return once(parsed_elements(sources, **more))
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -234,7 +242,7 @@ _ASSIGN_TREE = "[(0, 0, 'SOURCE_FILE', 0, n, 16), (1, 1, 'EXPRESSION_LIST', 0, n
 @query(f"""SELECT doc_id, CAST(t[1] AS INT) AS id, CAST(t[2] AS INT) AS depth, t[3] AS kind, CAST(t[4] AS BIGINT) AS "start", CAST(t[5] AS BIGINT) AS "end", CAST(t[6] AS INT) AS last_desc
   FROM (SELECT doc_id, unnest({_ASSIGN_TREE}) AS t FROM (SELECT doc_id, strlen(text) AS n, strlen(CAST(c_custkey AS VARCHAR)) + 1 AS k FROM {_text(c.ASSIGNMENTS, 'customer', 'c_custkey')}))""")
 def elements_assignments(spark, sf_dir):
-    return elements(c.assignments(spark, sf_dir)).where("NOT is_token").select("doc_id", "id", "depth", "kind", "start", "end", "last_desc")
+    return parsed_elements(c.assignments(spark, sf_dir)).where("NOT is_token").select("doc_id", "id", "depth", "kind", "start", "end", "last_desc")
 
 
 @query("""SELECT * FROM (VALUES ('a + b * c', '+', 'IDENTIFIER_EXPR', 'BINARY_EXPR'), ('a ^ b ^ c', '^', 'IDENTIFIER_EXPR', 'BINARY_EXPR'), ('a - b - c', '-', 'BINARY_EXPR', 'IDENTIFIER_EXPR'),
@@ -337,10 +345,8 @@ def locations_resolve(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(0 AS BIGINT) AS violations FROM documents")
 def snapshot_validate(spark, sf_dir):
-    s = c.documents(spark, sf_dir)
-    both = syntax(s, ["elements", "diagnostics"])
-    bad = tree.validate(both.select("doc_id", F.inline("elements")), both.select("doc_id", F.inline("diagnostics")), s)
-    return s.select("doc_id").join(bad.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("violations"))
+    parsed = syntax(c.documents(spark, sf_dir), ["elements", "diagnostics"], keep=["text"])
+    return tree.violations(parsed).select("doc_id", F.size("violations").cast("long").alias("violations"))
 
 
 @query()
@@ -384,14 +390,14 @@ def rox_tags(spark, sf_dir):
 
 @query("SELECT p_partkey AS doc_id, unnest(['x', 'y']) AS name FROM part")
 def rox_params(spark, sf_dir):
-    both = syntax(c.functions(spark, sf_dir), ["rox_elements", "rox_tokens"])
+    both = once(syntax(c.functions(spark, sf_dir), ["rox_elements", "rox_tokens"]))
     return docs.params(both.select("doc_id", F.inline("rox_elements")), both.select("doc_id", F.inline("rox_tokens"))).select("doc_id", "name")
 
 
 @query(f"""SELECT doc_id, CAST(0 AS BIGINT) AS block, 'Normal' AS state, CAST({_ROX_END} + 1 AS BIGINT) AS expr_start, CAST({_ROX_END} AS BIGINT) AS gap_start, CAST({_ROX_END} + 1 AS BIGINT) AS gap_end FROM {_PART}""")
 def rox_association(spark, sf_dir):
     s = c.functions(spark, sf_dir)
-    both = syntax(s, ["tokens", "elements"])
+    both = once(syntax(s, ["tokens", "elements"]))
     blocks = docs.runs(both.select("doc_id", F.inline("tokens")))
     return docs.associate(blocks, both.select("doc_id", F.inline("elements")), s).select("doc_id", "block", "state", "expr_start", "gap_start", "gap_end")
 
@@ -409,7 +415,7 @@ def rox_embedded(spark, sf_dir):
 
 @query(f"""SELECT doc_id, CAST({_ROX_END} - 1 AS BIGINT) AS point, CAST({_ROX_END} - 1 AS BIGINT) AS mapped FROM {_PART}""")
 def rox_point_map(spark, sf_dir):
-    t = table(c.functions(spark, sf_dir), "rox_tokens")
+    t = once(table(c.functions(spark, sf_dir), "rox_tokens"))
     points = t.groupBy("doc_id").agg((F.max("h_end") - 1).alias("point"))
     spans = t.select("doc_id", F.col("h_start").alias("from_start"), F.col("h_end").alias("from_end"), F.col("p_start").alias("to_start"), F.col("p_end").alias("to_end"))
     return docs.map_points(spans, points)

@@ -93,3 +93,17 @@ def test_streams(spark, tmp_path):
     q = parse_stream(texts).writeStream.format("memory").queryName("parsed_out").outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert spark.table("parsed_out").count() == 5
+
+
+def test_violations_both_ways(spark):
+    from quillspark.operators import tree
+
+    s = spark.createDataFrame([(1, "f(x) <- 'a"), (2, None), (3, "#' é\n)")], "doc_id long, text string")
+    parsed = syntax(s, ["elements", "diagnostics"], keep=["text"]).persist()
+    assert all(r.violations == [] for r in tree.violations(parsed).collect())
+    e, d = parsed.select("doc_id", F.inline("elements")), parsed.select("doc_id", F.inline("diagnostics"))
+    assert tree.validate(e, d, s).count() == 0
+    wrong = e.withColumn("kind", F.when(F.col("id") == 0, "ERROR").otherwise(F.col("kind"))).withColumn("kind_id", F.when(F.col("is_token"), 300).otherwise(F.col("kind_id")))
+    found = {r.violation for r in tree.validate(wrong, d.withColumn("end", F.lit(99)), s.withColumn("text", F.lit("other"))).collect()}
+    assert found == {"InvalidRoot", "NodeKindUsedAsToken", "SourceMismatch", "OutOfBoundsDiagnostic"}
+    parsed.unpersist()
