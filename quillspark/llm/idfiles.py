@@ -91,41 +91,51 @@ def id_kind(tokenizer: str) -> str:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", end_id: int | None = END_ID) -> DataFrame:
-    """doc_id and its ids, as little-endian unsigned integers of ``id_kind(tokenizer)``."""
+    """doc_id and its ids, as little-endian unsigned integers of ``id_kind(tokenizer)``; counts is null.
+
+    Each task adds one row that has only counts: how often each id came, as 64-bit integers. So the
+    frequencies need no further pass over the ids.
+    """
     kind = id_kind(tokenizer)
-    tail = np.array([] if end_id is None else [end_id], kind).tobytes()
+    tail = np.array([] if end_id is None else [end_id], kind)
 
     def run(batches):
-        enc = library_encoder(tokenizer)
+        enc, total = library_encoder(tokenizer), np.zeros(0, np.int64)
         for b in slices(batches):
-            ids = enc.ids([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.astype(kind).tobytes() + tail for i in ids], pa.binary())], ["doc_id", "ids"])
+            ids = [np.concatenate((i.astype(kind), tail)) for i in enc.ids([t or "" for t in b.column(1).to_pylist()])]
+            got = np.bincount(np.concatenate(ids), minlength=len(total))
+            got[: len(total)] += total
+            total = got
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.tobytes() for i in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], _NAMES)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], _NAMES)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+_NAMES = ["doc_id", "ids", "counts"]
 
 
-def _frequencies(tokens: DataFrame, kind: str) -> DataFrame:
+def _frequencies(encoded: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0):
-                got = np.bincount(np.frombuffer(x.as_buffer(), kind))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
+                got = np.frombuffer(x.as_buffer(), "<i8").copy()
+                if len(got) < len(total):
+                    got, total = total, got
+                got[: len(total)] += total
+                total = got
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_id_files(tokens: DataFrame, folder: str, shards: int, kind: str = "<u4") -> list[dict]:
-    """Write (doc_id, ids) in ascending doc_id order; returns the manifest, a row a shard file."""
-    spark = tokens.sparkSession
+def write_id_files(encoded: DataFrame, folder: str, shards: int, kind: str = "<u4") -> list[dict]:
+    """Write what ``encode_documents`` gave in ascending doc_id order; returns the manifest, a row a shard file."""
+    spark = encoded.sparkSession
     # As many rows as the vocabulary has ids, however large the corpus.
-    by = _frequencies(tokens, kind).orderBy(F.desc("n"), "id").select("id").collect()
+    by = _frequencies(encoded).orderBy(F.desc("n"), "id").select("id").collect()
     order = np.array([r.id for r in by], "<u4")
     write_file(f"{folder}/ranks.u4", order.tobytes())
     rank_of = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
@@ -157,6 +167,7 @@ def write_id_files(tokens: DataFrame, folder: str, shards: int, kind: str = "<u4
             close()
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("name", pa.string()), ("docs", pa.int64()), ("values", pa.int64())]))
 
+    tokens = encoded.where("counts IS NULL").select("doc_id", "ids")
     ordered = tokens.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     done = ordered.mapInArrow(run, "part long, shard long, name string, docs long, values long").collect()
     manifest = [r.asDict() for r in sorted(done, key=lambda r: (r.part, r.shard))]
@@ -204,8 +215,8 @@ def tokenizer_path() -> str:
 def op1_token_files(spark, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     path = tokenizer_path()
-    tokens = write_table(encode_documents(documents(spark, sf_dir), path))
-    manifest = write_id_files(tokens, folder, partitions(spark), id_kind(path))
+    encoded = write_table(encode_documents(documents(spark, sf_dir), path))
+    manifest = write_id_files(encoded, folder, partitions(spark), id_kind(path))
     back = read_id_files(spark, folder, manifest)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
