@@ -31,14 +31,17 @@ from pyspark.sql import functions as F
 from .idfiles import tokenizer_path
 from .lexicon import Lexicon, compile_lexicon
 from .shared import documents, shared_dir, slices, write_file, write_table
-from .tokens import CACHE_LENGTH, CACHE_WORDS, ODD, PieceTable, groups, pieces_of
+from .tokens import CACHE_LENGTH, ODD, PieceTable, groups, pieces_of
+from .workspace import kept
 
 #: Words in the lexicon at most; a bound on its size, not on the words that are encoded.
 LEXICON_WORDS = 32_768
 #: Counts from here on are told apart by their logarithm only when the lexicon's words are chosen.
 HIGH = 65_536
 #: Distinct pieces that a counting task holds before it sends their counts on.
-COUNT_PIECES = 300_000
+COUNT_PIECES = 150_000
+#: Pieces and words kept by a worker: fewer than the library's encoder keeps, beside the merge table.
+KEPT_PIECES, KEPT_WORDS = 300_000, 150_000
 END = "</w>"
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -79,7 +82,7 @@ class WordBPE:
         self.strings = [strings[i] for i in range(len(strings))]
         self.library = Tokenizer.from_file(path)
         self.lexicon: Lexicon | None = None
-        self.pieces, self.known = PieceTable(self._learn), dict(self.special)
+        self.pieces, self.known = PieceTable(self._learn, KEPT_PIECES), dict(self.special)
 
     def words(self, piece: str) -> list[bytes]:
         """The piece's pre-tokens as UTF-8; a special token stands as itself, as str."""
@@ -140,7 +143,7 @@ class WordBPE:
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         parts = [self.words(p) for p in pieces]
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > KEPT_WORDS:
             self.known = dict(self.special)
         known = self.known
         new = [w for w in set().union(*parts) if w not in known]
@@ -161,14 +164,9 @@ class WordBPE:
         return " ".join(map(self.strings.__getitem__, ids.tolist()))
 
 
-_codecs: dict[str, WordBPE] = {}
-
-
 def codec(path: str, lexicon: str | None = None) -> WordBPE:
     """One codec a worker process and vocabulary file; ``lexicon`` names a file sent with addFile."""
-    if path not in _codecs:
-        _codecs[path] = WordBPE(path)
-    out = _codecs[path]
+    out = kept(("codec", path), lambda: WordBPE(path))
     if lexicon and getattr(out, "lexicon_name", None) != lexicon:
         out.lexicon, out.lexicon_name = Lexicon(SparkFiles.get(lexicon)), lexicon
     return out

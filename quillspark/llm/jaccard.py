@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, partitions, slices, write_table
+from .workspace import kept
 
 #: Buckets of the frequency sketch (4 bytes each where it is used), whatever the corpus.
 SKETCH = 1 << 20
@@ -61,7 +62,7 @@ class Shingler:
         self.n, self.words = n, {}
 
     def _word_hash(self, w: bytes) -> bytes:
-        if len(self.words) > 400_000:
+        if len(self.words) > 300_000:
             self.words.clear()
         h = self.words[w] = blake2b(w, digest_size=8).digest()
         return h
@@ -83,6 +84,11 @@ class Shingler:
         return np.unique(out)
 
 
+def shingler(n: int) -> Shingler:
+    """One a worker process and shingle length."""
+    return kept(("shingles", n), lambda: Shingler(n))
+
+
 def prefix_size(n: int, threshold: Fraction) -> int:
     return n - -(-threshold.numerator * n // threshold.denominator) + 1 if n else 0
 
@@ -92,7 +98,7 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     width = 1 << 14
 
     def run(batches):
-        shingles, total = Shingler(n), np.zeros(SKETCH, np.uint32)
+        shingles, total = shingler(n), np.zeros(SKETCH, np.uint32)
         for b in slices(batches):
             found = np.concatenate([shingles(t) for t in b.column(0).to_pylist()] or [np.zeros(0, np.uint64)])
             total += np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
@@ -122,7 +128,7 @@ def _prefixes(docs: DataFrame, n: int, threshold: Fraction, sketch) -> DataFrame
     """doc_id, n_shingles, sig (of the whole set), prefix (hashes in order) and its own digest pkey."""
 
     def run(batches):
-        shingles, often = Shingler(n), sketch.value
+        shingles, often = shingler(n), sketch.value
         for b in slices(batches):
             count, sig, prefix, pkey = [], [], [], []
             for t in b.column(1).to_pylist():
@@ -293,7 +299,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, threshold: Fraction, part
     texts = docs.join(right, docs["doc_id"] == wanted["id"]).select("id", "text", "to")
 
     def sets(batches):
-        shingles = Shingler(n)
+        shingles = shingler(n)
         for b in slices(batches, 200):
             rows = []
             for i, t, to in zip(*[c.to_pylist() for c in b.columns]):

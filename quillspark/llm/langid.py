@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import documents, slices
+from .workspace import kept
 
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4)
@@ -187,6 +188,7 @@ def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") ->
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches):
+        kept("languages", dict)
         m = Model(*held.value)
         for b in slices(batches, 500):
             found = [m.mixture(t) for t in b.column(1).to_pylist()]
@@ -207,6 +209,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col="text", least_share:
     names = docs.columns
 
     def run(batches):
+        kept("languages", dict)
         m = Model(*held.value)
         for b in slices(batches, 500):
             b = b.select(names)

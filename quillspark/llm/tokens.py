@@ -13,6 +13,8 @@ from operator import itemgetter
 
 import numpy as np
 
+from .workspace import kept
+
 #: Pieces kept per worker; when there are more, the table begins anew.
 CACHE_PIECES = 1_200_000
 #: Longer pieces (bytes) repeat too rarely to be kept.
@@ -224,11 +226,6 @@ class LibraryEncoder:
         return [ids for some in groups([t.encode() for t in texts]) for ids in self.pieces.look_up(some)]
 
 
-_encoders: dict[str, LibraryEncoder] = {}
-
-
 def library_encoder(path: str) -> LibraryEncoder:
     """One encoder a worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: LibraryEncoder(path))
