@@ -1,10 +1,11 @@
 r"""Secret scans: fixed patterns, and strings in a sensitive context that nothing around explains.
 
-Base spans come from three patterns. The method adds ``novel`` spans: a candidate is a long run of
-key characters soon after a sensitive word on its line; zstandard is primed with a dictionary of
-common identifiers and with the text around the candidate, and the candidate's marginal compressed
-bytes are counted. Names, paths and words repeat what the dictionary or the surroundings hold and
-shrink; random keys do not, and those are reported.
+Base spans come from three patterns. The method adds ``novel`` spans: candidates are all long runs of
+key characters, with a digit and a letter, soon after a sensitive word, on its line or below, and
+soon after a run already reported, so lists of keys and PEM bodies are followed to their end.
+zstandard is primed with a dictionary of common identifiers and with the text around the candidate,
+and the candidate's marginal compressed bytes are counted. Names, paths and words repeat what the
+dictionary or the surroundings hold and shrink; random keys do not, and those are reported.
 
 Spans are code points, end exclusive. Defined results: null and empty texts have no spans; whole
 texts are scanned, of any length; repeated rows give repeated results; an empty table gives an
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -29,12 +32,17 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_CONTEXT = re.compile(r"passw|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|_auth|client[_-]?id", re.IGNORECASE | re.ASCII)
-#: Code points from the end of the sensitive word in which a candidate must begin.
+_CONTEXT = re.compile(r"passw|passphrase|pwd|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|credential|bearer|authorization|_auth|client[\x20_-]?id", re.IGNORECASE | re.ASCII)
+#: Code points, blanks aside, from the end of the word that holds the sensitive term in which a candidate must begin.
 REACH = 48
+_NEAR = re.compile(r"(?:\s*+\S){0,%d}+\s*+" % REACH)
+_NAME = re.compile(r"[A-Za-z0-9_-]*+")
+#: What hangs on a sensitive term and is the rest of a name: words and short numbers between ``_`` or ``-``.
+_REST = re.compile(r"[_-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_-]+|\Z))++")
 #: Shortest candidate.
 LEAST = 16
 _RUN = re.compile(r"[A-Za-z0-9+/_=~-]{%d,}" % LEAST)
+_PART = re.compile(r"[^=]{%d,}(?:=+\Z)?" % LEAST)
 #: Marginal compressed bytes for each byte of the candidate from which it counts as novel.
 NOVELTY = 0.85
 #: Code points of surroundings on either side that prime the compressor.
@@ -70,20 +78,64 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], least: float = NOVELTY) -> list[tuple[int, int, int]]:
-    found = {}
-    for m in _CONTEXT.finditer(text):
-        stop = text.find("\n", m.end())
-        stop = len(text) if stop < 0 else stop
-        run = _RUN.search(text, m.end(), stop)
-        if not run or run.start() > m.end() + REACH or run.span() in found:
-            continue
-        a, b = run.span()
-        word = run.group()
-        mixed = any(map(str.isdigit, word)) and any(map(str.isalpha, word))
-        if not mixed or any(x < b and a < y for x, _, y in base):
-            continue
-        found[a, b] = novelty(word, text[max(0, a - AROUND) : a] + "\n" + text[b : b + AROUND]) >= least
-    return [(a, 3, b) for (a, b), new in found.items() if new]
+    found: dict[tuple[int, int], bool] = {}
+    starts = [x for x, _, _ in base]
+    ends = list(accumulate((y for _, _, y in base), max))
+
+    terms = [(m.end(), len(m.group())) for m in _CONTEXT.finditer(text)]
+    term_ends = [e for e, _ in terms]
+
+    def known(a, b):
+        k = bisect_left(starts, b)
+        return k > 0 and ends[k - 1] > a
+
+    def new(a, b):
+        """Whether any key of the run is reported, or held by a base span."""
+        # ``name=key`` are runs of their own; ``=`` at the end pads.
+        parts = [(a + p.start(), a + p.end()) for p in _PART.finditer(text[a:b])] or [(a, b)]
+        yes = False
+        for a, b in parts:
+            if (a, b) not in found:
+                word = text[a:b]
+                mixed = any(map(str.isdigit, word)) and any(map(str.isalpha, word))
+                k = bisect_left(term_ends, a)
+                named = k < len(term_ends) and term_ends[k] == a and _REST.fullmatch(word)
+                found[a, b] = mixed and not named and not known(a, b) and novelty(word, text[max(0, a - AROUND) : a] + "\n" + text[b : b + AROUND]) >= least
+            yes |= found[a, b] or known(a, b)
+        return yes
+
+    def after_name(a, b):
+        """Where the run begins once a name that ends in a sensitive term is taken off, if a key can follow it."""
+        k = bisect_right(term_ends, a)
+        e, size = terms[k] if k < len(terms) else (b, 0)
+        name = text[a : min(e - size, a + LEAST)]
+        return e if e + LEAST <= b and (len(name) < LEAST or not any(map(str.isdigit, text[a:e]))) else a
+
+    # One pass: runs from ``at`` on are not yet tried, ``run`` is the next, ``name`` ends the last term's word, ``told`` the last run reported.
+    at = name = told = 0
+    run = _RUN.search(text)
+    for e in term_ends:
+        name = name if e <= name else _NAME.match(text, e).end()
+        until = _NEAR.match(text, name).end()
+        if told <= e < at:
+            # Inside a run that was tried whole and not reported.
+            own = _RUN.match(text, e)
+            if own and after_name(*own.span()) == e and new(*own.span()):
+                told = own.end()
+                until = max(until, _NEAR.match(text, told).end())
+        at = max(at, e)
+        while run:
+            run = run if run.start() >= at else _RUN.search(text, at)
+            if not run or run.start() > until:
+                break
+            at = after_name(*run.span())
+            if at > run.start():
+                continue
+            at = run.end()
+            if new(*run.span()):
+                told = at
+                until = max(until, _NEAR.match(text, at).end())
+    return [(a, 3, b) for (a, b), yes in found.items() if yes]
 
 
 def render(spans: list[tuple[int, int, int]]) -> str:
