@@ -4,8 +4,9 @@ Base spans come from three patterns. The method adds ``novel`` spans: candidates
 key characters, with a digit and a letter, soon after a sensitive word, on its line or below, and
 soon after a run already reported, so lists of keys and PEM bodies are followed to their end.
 zstandard is primed with a dictionary of common identifiers and with the text around the candidate,
-and the candidate's marginal compressed bytes are counted. Names, paths and words repeat what the
-dictionary or the surroundings hold and shrink; random keys do not, and those are reported.
+and the candidate's marginal compressed bytes are counted against those of a random string of its
+length and alphabet. Names, paths and words repeat what the dictionary or the surroundings hold and
+shrink; random keys do not, and those are reported, however long.
 
 Spans are code points, end exclusive. Defined results: null and empty texts have no spans; whole
 texts are scanned, of any length; repeated rows give repeated results; an empty table gives an
@@ -15,9 +16,12 @@ empty result; other columns are ignored. A candidate that overlaps a base span a
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_left, bisect_right
+from functools import lru_cache
 from itertools import accumulate
+from string import ascii_letters, ascii_lowercase, ascii_uppercase, digits
 
 import pyarrow as pa
 import zstandard
@@ -43,8 +47,12 @@ _REST = re.compile(r"[_-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_-]+|\Z))++")
 LEAST = 16
 _RUN = re.compile(r"[A-Za-z0-9+/_=~-]{%d,}" % LEAST)
 _PART = re.compile(r"[^=]{%d,}(?:=+\Z)?" % LEAST)
-#: Marginal compressed bytes for each byte of the candidate from which it counts as novel.
+#: Share of the marginal compressed bytes of a random string, as long and of the same alphabet, from which a candidate counts as novel.
 NOVELTY = 0.85
+#: Alphabets of keys, narrow to wide; a candidate has the first that holds it.
+ALPHABETS = tuple(
+    x + "=" for x in ("0123456789abcdef", "0123456789ABCDEF", ascii_uppercase + "234567", ascii_lowercase + "234567", digits + ascii_uppercase, digits + ascii_lowercase, digits + ascii_letters, digits + ascii_letters + "+/_~-")
+)
 #: Code points of surroundings on either side that prime the compressor.
 AROUND = 400
 
@@ -61,12 +69,21 @@ IDENTIFIERS = (
 )
 
 
+@lru_cache(4096)
+def _random_size(n: int, alphabet: str) -> float:
+    """Marginal compressed bytes of a random string of that length and alphabet, which nothing explains."""
+    if n > 4096:
+        return _random_size(4096, alphabet) * n / 4096
+    r, packer = random.Random(n), zstandard.ZstdCompressor(level=9, write_content_size=False)
+    return sum(len(packer.compress("".join(r.choices(alphabet, k=n)).encode())) for _ in range(4)) / 4 - len(packer.compress(b""))
+
+
 def novelty(candidate: str, around: str, dictionary: str = IDENTIFIERS) -> float:
-    """Marginal compressed bytes for each byte of the candidate."""
+    """Marginal compressed bytes against those of a random string of the same length and alphabet."""
     primed = zstandard.ZstdCompressionDict((dictionary + "\n" + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False)
-    raw = candidate.encode()
-    return (len(packer.compress(raw)) - len(packer.compress(b""))) / len(raw)
+    alphabet = next(x for x in ALPHABETS if set(candidate) <= set(x))
+    return (len(packer.compress(candidate.encode())) - len(packer.compress(b""))) / _random_size(len(candidate), alphabet)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -80,6 +80,17 @@ def test_all_runs_near_a_sensitive_word():
         assert [text[a:b] for a, _, b in sorted(secrets.novel_spans(text, secrets.base_spans(text)))] == want
 
 
+def test_long_keys_of_any_alphabet():
+    r = random.Random(9)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for letters, sizes in ((digits + "ABCDEF", (32, 64, 128, 256)), (upper + "234567", (32, 64, 128, 600)), (upper + lower + digits + "+/", (64, 400, 600, 5000))):
+        for n in sizes:
+            keys = ["".join(r.choice(letters) for _ in range(n - 1)) + "7" for _ in range(50)]
+            assert sum(len(secrets.novel_spans(f"The bearer value is <{k}> and so on", [])) for k in keys) >= 49
+    names = ["index_html_page_main_test_name_file_path_data_code_link_user_login_profile_image_static_assets_version_1", "ab12" * 30, "0123456789ABCDEF" * 8, "a" * 300 + "1"]
+    assert not any(secrets.novel_spans(f"The bearer value is <{x}> and so on", []) for x in names)
+
+
 def test_mixture_and_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs)
