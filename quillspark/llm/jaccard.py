@@ -398,14 +398,24 @@ def components(docs: DataFrame, n: int, threshold: Fraction, id_col="doc_id", te
     return joined.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def _keyed(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
+    """``docs`` with _nj_key, a number of its own for every row, in the order of the ids (null last) and then of a hash of the row."""
+    # The place among the input's rows only parts equal rows, so a hot id or text is dealt out like any other.
+    rows = docs.select("*", F.xxhash64(*docs.columns).alias("_nj_hash"), F.monotonically_increasing_id().alias("_nj_place"))
+    by = [F.col(id_col).asc_nulls_last(), "_nj_hash", "_nj_place"]
+    rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_nj_hash", "_nj_place")
+    return write_table(rows.withColumn("_nj_key", F.monotonically_increasing_id()))
+
+
 def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col="doc_id", text_col="text") -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id; of repeated ids, one row."""
-    found = components(docs, n, threshold, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_nj_id")).distinct()
-    found = write_table(found)
-    # Only where ids repeat at all are the texts shuffled to leave one row of each.
-    repeated = not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
-    left = docs.dropDuplicates([id_col]) if repeated else docs
-    return left.join(found, F.col(id_col) == F.col("_nj_id"), "left_anti")
+    """``docs`` with one row of each component: that of the smallest id. Other rows stay, whatever their ids: repeated and null ones are no copies."""
+    # Only where ids repeat or are missing are the rows numbered anew.
+    unclear = not docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty()
+    key = "_nj_key" if unclear else id_col
+    rows = _keyed(docs, id_col, partitions(docs.sparkSession)) if unclear else docs
+    found = components(rows, n, threshold, key, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_nj_id"))
+    left = rows.join(write_table(found), F.col(key) == F.col("_nj_id"), "left_anti")
+    return left.drop("_nj_key")
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -193,6 +193,18 @@ def test_long_lists_in_blocks(spark, monkeypatch):
     assert got == jaccard.brute_force(rows, 3, Fraction(9, 10))
 
 
+def test_repeated_and_null_ids_lose_no_text(spark):
+    def text(k, changed=0):
+        return " ".join(f"w{k}_{i}" if i >= changed else f"x{k}_{i}" for i in range(100))
+
+    rows = [(7, text(k)) for k in range(30)] + [(None, text(k)) for k in range(100, 120)] + [(None, text(100, 2)), (None, None), (None, None), (3, text(5)), (7, text(6)), (None, text(8))]
+    left = [(r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
+    # Copies: 5 under ids 3 and 7, 6 twice under 7, 8 under 7 and null, and the near copy of 100.
+    ids = {k: 3 if k == 5 else 7 for k in range(30)}
+    assert {(d, t) for d, t in left if t != text(100) and t != text(100, 2)} == {(d, text(k)) for k, d in ids.items()} | {(None, text(k)) for k in range(101, 120)} | {(None, None)}
+    assert len(left) == 30 + 20 + 2
+
+
 def test_connected_components(spark):
     r = random.Random(1)
     chain = [(i, i + 1) for i in range(100, 160)]
