@@ -49,9 +49,29 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio=MAX_RA
     return found.groupBy("_ld_host").agg(F.array_sort(F.collect_list("_ld_line")).alias("_ld_lines"))
 
 
-def dedup_lines(pages: DataFrame, host_col="host", text_col="text", max_ratio=MAX_RATIO, min_pages=MIN_PAGES) -> DataFrame:
-    """``pages`` with the boilerplate lines gone from ``text_col``, and _ld_before / _ld_after line counts."""
+def scattered(pages: DataFrame, flags: DataFrame, host_col: str, text_col: str, least: float, min_pages=MIN_PAGES) -> DataFrame:
+    """``flags`` without the lines of copied pages: of the pages of a line, ``least`` or more must differ in their first or in their last other line."""
+    base = pages.select(F.col(host_col).alias("_ld_h"), F.col(text_col).alias("_ld_text"))
+    base = base.join(flags, F.col("_ld_h").eqNullSafe(F.col("_ld_host")))
+    base = base.select("_ld_host", "_ld_lines", F.filter(F.transform(line_array(F.col("_ld_text")), _key), lambda x: x != "").alias("_ld_keys"))
+    lines = base.select("_ld_host", "_ld_keys", F.explode(F.array_intersect("_ld_lines", "_ld_keys")).alias("_ld_line"))
+    others = F.array_remove("_ld_keys", F.col("_ld_line"))
+    ends = lines.select("_ld_host", "_ld_line", F.inline(F.array(*(F.struct(F.lit(k).alias("_ld_end"), F.xxhash64(F.try_element_at(others, F.lit(k))).alias("_ld_other"), F.size(others).alias("_ld_n")) for k in (1, -1)))))
+    counts = ends.groupBy("_ld_host", "_ld_line", "_ld_end", "_ld_other").agg(F.count(F.lit(1)).alias("_ld_pages"), F.max("_ld_n").alias("_ld_n"))
+    counts = counts.groupBy("_ld_host", "_ld_line", "_ld_end").agg(F.sum("_ld_pages").alias("_ld_pages"), F.sum((F.col("_ld_n") > 0).cast("long")).alias("_ld_differ"))
+    found = counts.groupBy("_ld_host", "_ld_line").agg(F.max("_ld_pages").alias("_ld_pages"), F.max("_ld_differ").alias("_ld_differ"))
+    found = found.where((F.col("_ld_differ") >= min_pages) & (F.col("_ld_differ") >= F.col("_ld_pages") * F.lit(least)))
+    return found.groupBy("_ld_host").agg(F.array_sort(F.collect_list("_ld_line")).alias("_ld_lines"))
+
+
+def dedup_lines(pages: DataFrame, host_col="host", text_col="text", max_ratio=MAX_RATIO, min_pages=MIN_PAGES, least_differ=0.0) -> DataFrame:
+    """``pages`` with the boilerplate lines gone from ``text_col``, and _ld_before / _ld_after line counts.
+
+    With ``least_differ``, lines that are on many pages only because the pages are copies stay (see ``scattered``).
+    """
     flags = write_table(boilerplate(pages, host_col, text_col, max_ratio, min_pages))
+    if least_differ:
+        flags = write_table(scattered(pages, flags, host_col, text_col, least_differ, min_pages))
     held = flags.select(F.sum(F.aggregate("_ld_lines", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 32)).alias("b")).first().b or 0
     right = F.broadcast(flags) if held <= BROADCAST_BYTES else flags
     joined = pages.join(right, F.col(host_col).eqNullSafe(F.col("_ld_host")), "left")

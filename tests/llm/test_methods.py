@@ -193,6 +193,24 @@ def test_long_lists_in_blocks(spark, monkeypatch):
     assert got == jaccard.brute_force(rows, 3, Fraction(9, 10))
 
 
+def test_line_stage_drops_lines_and_keeps_copies(spark):
+    import corpus_pipeline as cp
+
+    # 500 documents of a source: one line on 50, another on 12; 60 exact copies, 40 near ones.
+    def own(i):
+        return [f"line {i} {k}" for k in range(6)]
+
+    rows = [(i, own(i)) for i in range(400)]
+    rows += [(400 + i, own(1000)) for i in range(60)] + [(460 + i, [*own(1001)[: i % 6], f"new {i}", *own(1001)[i % 6 + 1 :]]) for i in range(40)]
+    for i, t in rows[:50]:
+        t.insert(i % 7, "All rights reserved.")
+    for i, t in rows[100:112]:
+        t.insert(i % 7, "Subscribe now.")
+    docs = spark.createDataFrame([(i, "\n".join(t), "en", "src", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text.split("\n") for r in cp.line_dedup(spark, docs, "").collect()}
+    assert got == {i: [x for x in t if x not in ("All rights reserved.", "Subscribe now.")] for i, t in rows}
+
+
 def test_repeated_and_null_ids_lose_no_text(spark):
     def text(k, changed=0):
         return " ".join(f"w{k}_{i}" if i >= changed else f"x{k}_{i}" for i in range(100))
