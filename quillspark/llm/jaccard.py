@@ -13,20 +13,27 @@ Steps, each over all documents:
 5. ``expand and verify``: members of the pairs that pass are compared exactly on their whole sets.
 
 The result is connected components, not pairs, so a list of groups that share a hash is worked in
-two rounds: first every list links to one pivot, which settles groups of copies in linear work;
-then, with the components so far known, all pairs of the list that still lie in different
-components go through the filter and are verified. No link is lost: pairs left out join documents
-that are already connected. Lists longer than ``BLOCK`` are dealt out in blocks against blocks.
+two rounds: first every list links to one pivot for each band of sizes, which settles groups of
+copies in linear work; then, with the components so far known, the groups of a list that lie
+outside its largest component meet all the others, and the pairs that pass are verified. No link is
+lost: pairs left out join documents that are already connected.
+
+No list is held by one task for being long. Hashes on more than ``BLOCK`` groups are counted first
+(the sketch tells which can be), and their groups meet the pivots in a join; in the second round
+such a list is cut into blocks, and only the groups outside the largest component go to all of them.
 
 A document has the words ``[^\x20\x09-\x0D]+`` with A-Z in lower case; with fewer words than the
 n-gram, the whole sequence is its one shingle; without words or text its set is empty, it links
-with nothing and is its own component. Rows that repeat a ``doc_id`` are linked like any other
-texts under that id. Null ids are left out. An empty table gives an empty result; other columns are
-ignored. Hashes have 64 bits: two different shingles of the pair compared would have to collide.
+with nothing and is its own component. Rows that repeat a ``doc_id`` are rows of their own, each in
+the component of its text. A row without an id links like any other; its component has the smallest
+id there is, or null where no row has one. An empty table gives an empty result; other columns are
+ignored. Long texts are hashed in slices of ``SLICE`` bytes. Hashes have 64 bits: two different
+shingles of the pair compared would have to collide.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -34,7 +41,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, partitions, slices, write_table
@@ -42,12 +49,16 @@ from .workspace import kept
 
 #: Buckets of the frequency sketch (4 bytes each where it is used), whatever the corpus.
 SKETCH = 1 << 20
-#: Groups of a list that one task compares with each other.
-BLOCK = 1000
+#: Groups of a list that one task compares with each other, and from which a hash counts as heavy.
+BLOCK = 500
+#: Heavy hashes, or their pivots, up to which they are broadcast (about 40 bytes each).
+BROADCAST_HEAVY = 500_000
 #: Lists up to this length are compared whole at once.
 SHORT = 8
-#: Partners of one document that a task compares with it.
+#: Partners of one document that a task compares with it, or that are listed in one row.
 PARTNERS = 200
+#: Bytes of a text whose words are held at a time, and bytes of sets in one Arrow batch.
+SLICE, BATCH_BYTES = 1 << 20, 16 << 20
 #: Pairs up to which the table of documents to verify is broadcast (about 50 bytes each).
 BROADCAST_IDS = 500_000
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
@@ -68,9 +79,15 @@ class Shingler:
         return h
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode().translate(_LOWER).split(b" ") if text else []
+        raw = text.encode().translate(_LOWER) if text else b""
         get, new = self.words.get, self._word_hash
-        h = np.frombuffer(b"".join([get(w) or new(w) for w in words if w]), np.uint64)
+        hashed, at = [], 0
+        while at < len(raw):
+            end = raw.find(b" ", at + SLICE)
+            end = len(raw) if end < 0 else end
+            hashed.append(b"".join([get(w) or new(w) for w in raw[at:end].split(b" ") if w]))
+            at = end
+        h = np.frombuffer(b"".join(hashed), np.uint64)
         if not len(h):
             return np.zeros(0, np.uint64)
         n = min(self.n, len(h))
@@ -144,32 +161,44 @@ def _prefixes(docs: DataFrame, n: int, threshold: Fraction, sketch) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary, prefix binary, pkey binary")
 
 
-def _postings(groups: DataFrame) -> DataFrame:
-    """token, gid, n, pos, several for every hash of every group's prefix; several: the group has more members than one."""
+def _postings(groups: DataFrame, sketch, maybe: bool = False) -> DataFrame:
+    """token, gid, n, pos, several for every hash of every group's prefix; several: the group has more members than one.
+
+    ``maybe``: only of hashes that can be heavy, by the sketch.
+    """
 
     def run(batches):
+        often = sketch.value
         for b in slices(batches, 500):
             if not b.num_rows:
                 continue
-            gids, ns, several = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
             parts = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
             sizes = np.array([len(p) for p in parts])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(parts)), pa.array(np.repeat(gids, sizes)), pa.array(np.repeat(ns, sizes)), pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])), pa.array(np.repeat(several, sizes))],
-                ["token", "gid", "n", "pos", "several"],
-            )
+            token, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+            pos = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
+            if maybe:
+                at = np.flatnonzero(often[token & (SKETCH - 1)] > BLOCK)
+                token, row, pos = token[at], row[at], pos[at]
+            gid, n, several = (b.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 1, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(gid), pa.array(n), pa.array(pos), pa.array(several)], ["token", "gid", "n", "pos", "several"])
 
     return groups.select("gid", "n", "prefix", "several").mapInArrow(run, "token long, gid long, n long, pos int, several boolean")
 
 
 def _passes(n1, p1, n2, p2, num: int, den: int):
-    """Whether two groups with a shared hash at these positions can reach the threshold."""
+    """Whether two groups, of different sets, with a shared hash at these positions can reach the threshold."""
     small, large = np.minimum(n1, n2), np.maximum(n1, n2)
-    # overlap * (num + den) >= num * (n1 + n2), with at most this overlap
-    most = np.minimum(n1 - p1, n2 - p2)
+    # overlap * (num + den) >= num * (n1 + n2), with at most this overlap; different sets of one size differ somewhere
+    most = np.minimum(np.minimum(n1 - p1, n2 - p2), small - (n1 == n2))
     return (small * den >= large * num) & (most * (num + den) >= num * (n1 + n2))
 
 
+def _passing(n1, p1, n2, p2, num: int, den: int) -> Column:
+    """The same of columns."""
+    most = F.least(n1 - p1, n2 - p2, F.when(n1 == n2, n1 - 1).otherwise(F.least(n1, n2)))
+    return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (most * (num + den) >= (n1 + n2) * num)
+
+
 def _lists(batches, names):
     """Runs of rows of one key from sorted batches: (key, columns as arrays)."""
     held = None
@@ -192,6 +221,7 @@ def _lists(batches, names):
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _FIRST = pa.schema([("pair", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("pos", pa.int32())])
+_FIRST_SQL = "pair boolean, a long, b long, n long, pos int"
 
 
 def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -200,14 +230,37 @@ def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
 
 
-def _first_round(postings: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
-    """Rows of two kinds from one pass over the lists of each shared hash.
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _first_round(groups: DataFrame, sketch, threshold: Fraction, parts: int) -> DataFrame:
+    """Rows of two kinds from the lists of each shared hash.
 
     Pairs (a: pivot, b: other) that pass: all of a short list, else each band's pivot, the group whose
     hash comes first, with the rest of its band. And the rows (a: token, b: gid, n, pos) of the longer
     lists, which the second round needs. Lists of one group leave nothing.
     """
     num, den = threshold.numerator, threshold.denominator
+    heavy = write_table(_postings(groups, sketch, True).groupBy("token").count().where(F.col("count") > BLOCK).select(F.col("token").alias("t")))
+    light = _postings(groups, sketch)
+    if heavy.isEmpty():
+        return _light(light, threshold, parts)
+    held = _small(heavy, BROADCAST_HEAVY)
+    light = light.join(held, F.col("token") == F.col("t"), "left_anti")
+    # Sizes in bands no wider than the size filter; a heavy hash's groups meet the band's pivot where they are.
+    long = write_table(_postings(groups, sketch, True).join(held, F.col("token") == F.col("t")).select("token", "gid", "n", "pos", F.floor(F.log("n") / math.log(den / num)).alias("band")))
+    pivots = write_table(long.groupBy("token", "band").agg(F.min(F.struct("pos", "gid", "n")).alias("p")))
+    met = long.join(_small(pivots, BROADCAST_HEAVY), ["token", "band"])
+    passed = _passing(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), num, den) & (F.col("gid") != F.col("p.gid"))
+    pairs = met.where(passed).select(F.lit(True).alias("pair"), F.col("p.gid").alias("a"), F.col("gid").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("pos"))
+    rows = long.select(F.lit(False).alias("pair"), F.col("token").alias("a"), F.col("gid").alias("b"), "n", "pos")
+    return _light(light, threshold, parts).unionByName(pairs).unionByName(rows)
+
+
+def _light(postings: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
+    num, den = threshold.numerator, threshold.denominator
 
     def run(batches):
         pairs, rows, size = [], [], 0
@@ -226,7 +279,6 @@ def _first_round(postings: DataFrame, threshold: Fraction, parts: int) -> DataFr
             if len(gid) <= SHORT and not several.any():
                 i, j = np.triu_indices(len(gid), 1)
             else:
-                # Sizes in bands no wider than the size filter; a pivot for each band.
                 band = np.floor(np.log(n) / np.log(den / num)).astype(np.int64)
                 order = np.lexsort((gid, pos, band))
                 gid, n, pos, band = gid[order], n[order], pos[order], band[order]
@@ -244,33 +296,37 @@ def _first_round(postings: DataFrame, threshold: Fraction, parts: int) -> DataFr
         if size:
             yield batch()
 
-    return postings.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, "pair boolean, a long, b long, n long, pos int")
+    return postings.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, _FIRST_SQL)
 
 
 def _cross_pairs(postings: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
     """Pairs that pass in lists with several components; postings have ``root``, the component so far."""
     num, den = threshold.numerator, threshold.denominator
     # Sums of what tasks have read, before anything is dealt by the hash.
-    mixed = postings.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("long")).where("lo < hi").select(F.col("token").alias("t"), "long")
-    rows = postings.join(mixed, F.col("token") == F.col("t")).drop("t")
-    # A long list is cut into k blocks by hash, and each pair of blocks is a list of its own.
-    k = F.ceil(F.col("long") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("gid", "token"), k).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), own.alias("own")))
-    rows = rows.select("token", "gid", "n", "pos", "root", F.inline(cells)).withColumn("cell", F.xxhash64("token", "i", "j"))
+    by = postings.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
+    mixed = by.groupBy("token").agg(F.sum("k").alias("long"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("main")).where("roots > 1")
+    rows = postings.join(mixed.select(F.col("token").alias("t"), "long", "main"), F.col("token") == F.col("t")).drop("t")
+    # A long list is cut into blocks. Its visitors, the groups outside its largest component, go in
+    # parts of a block's size to every block: each cell is a block and a part.
+    whole = F.col("long") <= BLOCK
+    blocks = F.when(whole, 1).otherwise(F.ceil(F.col("long") / F.lit(BLOCK))).cast("int")
+    visits = F.when(whole, 1).otherwise(F.ceil((F.col("long") - F.col("main.k")) / F.lit(BLOCK))).cast("int")
+    at = F.pmod(F.xxhash64("gid", "token"), blocks).cast("int")
+    part = F.pmod(F.xxhash64("token", "gid"), visits).cast("int")
+    stays = F.transform(F.sequence(F.lit(0), visits - 1), lambda j: F.struct(at.alias("i"), j.alias("j"), F.lit(False).alias("visitor")))
+    comes = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(i.alias("i"), part.alias("j"), F.lit(True).alias("visitor")))
+    cells = F.when(whole | (F.col("root") == F.col("main.root")), stays).otherwise(F.concat(stays, comes))
+    rows = rows.select("token", "gid", "n", "pos", "root", whole.alias("whole"), F.inline(cells)).withColumn("cell", F.xxhash64("token", "i", "j"))
 
     def run(batches):
         found, size = [], 0
-        for _, (_, token, gid, n, pos, root, i, j, own) in _lists(batches, ["cell", "token", "gid", "n", "pos", "root", "i", "j", "own"]):
+        for _, (_, token, gid, n, pos, root, whole, visitor) in _lists(batches, ["cell", "token", "gid", "n", "pos", "root", "whole", "visitor"]):
             order = np.lexsort((gid, n))
-            gid, n, pos, root, own, token = gid[order], n[order], pos[order], root[order], own[order], token[order]
-            last = np.searchsorted(n, n * den // num, "right")
-            within = i[0] == j[0]
-            for x in range(len(gid)):
-                y = slice(x + 1, int(last[x]))
-                ok = (root[y] != root[x]) & (token[y] == token[x]) & _passes(n[x], pos[x], n[y], pos[y], num, den)
-                if not within:
-                    ok &= own[y] != own[x]
+            gid, n, pos, root, visitor, token, whole = gid[order], n[order], pos[order], root[order], visitor[order], token[order], whole[order]
+            low, last = np.searchsorted(n, -(-n * num // den), "left"), np.searchsorted(n, n * den // num, "right")
+            for x in np.flatnonzero(visitor | whole).tolist():
+                y = slice(x + 1 if whole[x] else int(low[x]), int(last[x]))
+                ok = (root[y] != root[x]) & ~visitor[y] & (token[y] == token[x]) & _passes(n[x], pos[x], n[y], pos[y], num, den)
                 if ok.any():
                     other = gid[y][ok]
                     found.append((np.full(len(other), gid[x]), other))
@@ -286,27 +342,43 @@ def _cross_pairs(postings: DataFrame, threshold: Fraction, parts: int) -> DataFr
 def _verify(docs: DataFrame, pairs: DataFrame, n: int, threshold: Fraction, parts: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold.
 
-    Each set is made once and sent once for each pair in which it is b, with the pair's a; those of
-    many partners are dealt out, and the set of a goes to every part of them.
+    Each set is sent once for each pair in which it is b, with the pair's a, and made once for every
+    PARTNERS of these; those of many partners are dealt out, and the set of a goes to every part of them.
     """
     num, den = threshold.numerator, threshold.denominator
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTNERS)).cast("int").alias("k"))
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"))
-    as_b = dealt.select(F.col("b").alias("id"), F.struct("a", "salt", F.lit(True).alias("partner")).alias("to"))
-    as_a = counts.select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt")).select("id", F.struct(F.col("id").alias("a"), "salt", F.lit(False).alias("partner")).alias("to"))
-    wanted = write_table(as_b.unionByName(as_a).groupBy("id").agg(F.collect_list("to").alias("to")))
+
+    def shares(col: str) -> DataFrame:
+        return pairs.groupBy(col).agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTNERS)).cast("int").alias(f"k{col}"))
+
+    counts = write_table(shares("a"))
+    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("ka")).cast("int").alias("salt"))
+    # Who has many partners as b is listed in several rows.
+    many = _small(write_table(shares("b").where("kb > 1").withColumnRenamed("b", "m")), BROADCAST_IDS)
+    as_b = dealt.join(many, F.col("b") == F.col("m"), "left").select(F.col("b").alias("id"), F.coalesce(F.pmod(F.xxhash64("a"), F.col("kb")), F.lit(0)).cast("int").alias("row"), F.struct("a", "salt", F.lit(True).alias("partner")).alias("to"))
+    salts = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("salt"))
+    as_a = salts.select(F.col("a").alias("id"), F.floor(F.col("salt") / PARTNERS).cast("int").alias("row"), F.struct("a", "salt", F.lit(False).alias("partner")).alias("to"))
+    wanted = write_table(as_b.unionByName(as_a).groupBy("id", "row").agg(F.collect_list("to").alias("to")).select("id", "to"))
     right = F.broadcast(wanted) if pairs.count() <= BROADCAST_IDS else wanted
     texts = docs.join(right, docs["doc_id"] == wanted["id"]).select("id", "text", "to")
+    kinds = {"a": pa.int64(), "salt": pa.int32(), "partner": pa.bool_(), "id": pa.int64(), "hashes": pa.binary()}
 
     def sets(batches):
         shingles = shingler(n)
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) if rows else [[]] * 5, kinds.values())], list(kinds))
+
         for b in slices(batches, 200):
-            rows = []
+            rows, size = [], 0
             for i, t, to in zip(*[c.to_pylist() for c in b.columns]):
                 raw = shingles(t).tobytes()
-                rows += [(x["a"], x["salt"], x["partner"], i, raw) for x in to]
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()])], ["a", "salt", "partner", "id", "hashes"])
+                for x in to:
+                    rows.append((x["a"], x["salt"], x["partner"], i, raw))
+                    size += len(raw)
+                    if size > BATCH_BYTES:
+                        yield batch(rows)
+                        rows, size = [], 0
+            yield batch(rows)
 
     sent = texts.mapInArrow(sets, "a long, salt int, partner boolean, id long, hashes binary")
 
@@ -356,11 +428,11 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def components(docs: DataFrame, n: int, threshold: Fraction, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _linked(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """doc_id, n_shingles, component_id of rows (doc_id, text) whose ids are unique and known."""
     spark: SparkSession = docs.sparkSession
     parts = partitions(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    num, den = threshold.numerator, threshold.denominator
     sketch = spark.sparkContext.broadcast(_sketch(docs, n))
     every = write_table(_prefixes(docs, n, threshold, sketch))
 
@@ -370,22 +442,24 @@ def components(docs: DataFrame, n: int, threshold: Fraction, id_col="doc_id", te
     groups = write_table(classes.groupBy("n_shingles", "pkey").agg(F.min("rep").alias("gid"), (F.count(F.lit(1)) > 1).alias("several")))
     member = classes.join(groups.where("several"), ["n_shingles", "pkey"]).select("gid", "rep", F.col("n_shingles").alias("n"))
     member = write_table(member)
+    size, first = F.col("n"), F.lit(0)
 
     # 4, first round: pairs of groups, expanded to their members.
     held = groups.select("gid", "several", F.col("n_shingles").alias("n"), F.col("pkey").alias("k"))
     prefixes = some.join(held, (F.col("doc_id") == F.col("gid")) & (F.col("pkey") == F.col("k"))).select("gid", "n", "prefix", "several")
-    first = write_table(_first_round(_postings(prefixes), threshold, parts))
-    pairs = first.where("pair").select("a", "b").distinct()
+    found = write_table(_first_round(write_table(prefixes), sketch, threshold, parts))
+    pairs = found.where("pair").select("a", "b").distinct()
     partners = pairs.join(member.select(F.col("gid").alias("g"), "rep"), F.col("b") == F.col("g"), "left").select("a", F.coalesce("rep", "b").alias("b"))
-    tried = write_table(partners.unionByName(member.select(F.col("gid").alias("a"), F.col("rep").alias("b"))).where("a <> b").distinct())
+    inside = member.where(_passing(size, first, size, first, num, den))
+    tried = write_table(partners.unionByName(inside.select(F.col("gid").alias("a"), F.col("rep").alias("b"))).where("a <> b").distinct())
     links = write_table(_verify(docs, tried, n, threshold, parts))
     roots = connected(links)
 
     # 4, second round: everything in the longer lists, and in groups, that is not connected yet.
-    lists = first.where("NOT pair").select(F.col("a").alias("token"), F.col("b").alias("g"), "n", "pos")
+    lists = found.where("NOT pair").select(F.col("a").alias("token"), F.col("b").alias("g"), "n", "pos")
     lists = lists.join(member.select(F.col("gid").alias("m"), "rep"), F.col("g") == F.col("m"), "left").select("token", F.coalesce("rep", "g").alias("gid"), "n", "pos")
-    # Members stand in the list of their group, at position 0: any two pass the filter.
-    lists = lists.unionByName(member.select(F.xxhash64("gid", F.lit("members")).alias("token"), F.col("rep").alias("gid"), "n", F.lit(0).cast("int").alias("pos")))
+    # Members stand in the list of their group, at position 0.
+    lists = lists.unionByName(inside.select(F.xxhash64("gid", F.lit("members")).alias("token"), F.col("rep").alias("gid"), "n", F.lit(0).cast("int").alias("pos")))
     placed = write_table(lists.join(roots, F.col("gid") == F.col("node"), "left").select("token", "gid", "n", "pos", F.coalesce("root", "gid").alias("root")))
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = write_table(_cross_pairs(placed, threshold, parts).join(both, ["a", "b"], "left_anti"))
@@ -393,36 +467,57 @@ def components(docs: DataFrame, n: int, threshold: Fraction, id_col="doc_id", te
     if not more.isEmpty():
         roots = connected(links.unionByName(more))
 
-    found = write_table(classes.select(F.col("n_shingles").alias("cn"), F.col("sig").alias("cs"), "rep").join(roots, F.col("rep") == F.col("node"), "left").select("cn", "cs", F.coalesce("root", "rep").alias("root")))
-    joined = every.join(found, (F.col("n_shingles") == F.col("cn")) & (F.col("sig") == F.col("cs")), "left")
+    ends = write_table(classes.select(F.col("n_shingles").alias("cn"), F.col("sig").alias("cs"), "rep").join(roots, F.col("rep") == F.col("node"), "left").select("cn", "cs", F.coalesce("root", "rep").alias("root")))
+    joined = every.join(ends, (F.col("n_shingles") == F.col("cn")) & (F.col("sig") == F.col("cs")), "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _keyed(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
-    """``docs`` with _nj_key, a number of its own for every row, in the order of the ids (null last) and then of a hash of the row."""
-    # The place among the input's rows only parts equal rows, so a hot id or text is dealt out like any other.
-    rows = docs.select("*", F.xxhash64(*docs.columns).alias("_nj_hash"), F.monotonically_increasing_id().alias("_nj_place"))
-    by = [F.col(id_col).asc_nulls_last(), "_nj_hash", "_nj_place"]
-    rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_nj_hash", "_nj_place")
-    return write_table(rows.withColumn("_nj_key", F.monotonically_increasing_id()))
+def _clear(docs: DataFrame, id_col: str) -> bool:
+    """Whether every row has an id of its own."""
+    return docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty()
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written, with a column that numbers its rows, and that column's name."""
+    key = "_nj_key"
+    while key in docs.columns:
+        key += "_"
+    return write_table(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
+def components(docs: DataFrame, n: int, threshold: Fraction, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if _clear(docs, "doc_id"):
+        return _linked(docs, n, threshold)
+    # Ids that are missing or repeated name no row: rows are numbered, and components named at the end.
+    rows, key = _numbered(docs)
+    found = write_table(_linked(rows.select(F.col(key).alias("doc_id"), "text"), n, threshold)).withColumnRenamed("doc_id", "_row")
+    found = found.join(rows.select(key, "doc_id"), F.col("_row") == F.col(key))
+    least = found.groupBy(F.col("component_id").alias("_at")).agg(F.min("doc_id").alias("_least"))
+    return found.join(least, F.col("component_id") == F.col("_at")).select("doc_id", "n_shingles", F.col("_least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col="doc_id", text_col="text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id. Other rows stay, whatever their ids: repeated and null ones are no copies."""
-    # Only where ids repeat or are missing are the rows numbered anew.
-    unclear = not docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty()
-    key = "_nj_key" if unclear else id_col
-    rows = _keyed(docs, id_col, partitions(docs.sparkSession)) if unclear else docs
-    found = components(rows, n, threshold, key, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_nj_id"))
-    left = rows.join(write_table(found), F.col(key) == F.col("_nj_id"), "left_anti")
-    return left.drop("_nj_key")
+    """``docs`` with one row of each component: that of the smallest id (null last, then by a hash of the row). Other rows stay, whatever their ids."""
+    clear = _clear(docs, id_col)
+    rows, key = (docs, id_col) if clear else _numbered(docs)
+    found = write_table(_linked(rows.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).alias("text")), n, threshold))
+    if clear:
+        gone = found.where("component_id <> doc_id")
+    else:
+        order = rows.select(F.col(key).alias("_nj_row"), F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*docs.columns), F.col(key)).alias("_nj_order"))
+        best = found.join(order, F.col("doc_id") == F.col("_nj_row")).groupBy("component_id").agg(F.min_by("doc_id", "_nj_order").alias("_nj_best"))
+        gone = found.join(best, "component_id").where("doc_id <> _nj_best")
+    left = rows.join(write_table(gone.select(F.col("doc_id").alias("_nj_gone"))), F.col(key) == F.col("_nj_gone"), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
     return components(documents(spark, sf_dir), 3, Fraction(9, 10))
 
 
-def brute_force(rows: list[tuple[int, str | None]], n: int, threshold: Fraction) -> list[tuple[int, int, int]]:
+def brute_force(rows: list[tuple[int | None, str | None]], n: int, threshold: Fraction) -> list[tuple[int | None, int, int | None]]:
     """The same from Python sets of word tuples and all pairs."""
     import re
 
@@ -444,7 +539,8 @@ def brute_force(rows: list[tuple[int, str | None]], n: int, threshold: Fraction)
             both = len(sets[i] & sets[j])
             if sets[i] and threshold.denominator * both >= threshold.numerator * (len(sets[i]) + len(sets[j]) - both) and sets[j]:
                 root[top(i)] = top(j)
-    least: dict[int, int] = {}
+    least: dict[int, int | None] = {}
     for i, (d, _) in enumerate(rows):
-        least[top(i)] = min(d, least.get(top(i), d))
-    return sorted((d, len(sets[i]), least[top(i)]) for i, (d, _) in enumerate(rows))
+        own = least.get(top(i))
+        least[top(i)] = d if own is None else own if d is None else min(d, own)
+    return sorted(((d, len(sets[i]), least[top(i)]) for i, (d, _) in enumerate(rows)), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2] or 0))
