@@ -7,7 +7,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from quillspark.llm import avi, bpe, fingerprint, idfiles, jaccard, langid, lexicon, secrets, tokens
+from quillspark.llm import avi, bpe, fingerprint, idfiles, jaccard, langid, lexicon, licences, secrets, tokens
 
 PATH = idfiles.tokenizer_path()
 
@@ -261,3 +261,36 @@ def test_piece_table():
     got = same.look_up([b"ab cd ab xy ab"])
     assert got[0].tolist() == [b for p in b"ab cd ab xy ab".split() for b in p]
     assert same.look_up([b"cd ab"])[0].tolist() == list(b"cdab")
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licences.train(spark)
+
+
+def test_licences_against_plain_python(spark, licence_model):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("doc_id % 5 = 0")
+    rows = [tuple(r) for r in docs.collect()]
+    notices = [
+        ("MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so.", {(0, "mit"), (2, "mit")}),
+        ("# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.", {(0, "apache"), (1, "apache")}),
+        (" * This program is free software: you can redistribute it and/or modify\r\n * it under the terms of the GNU General Public License as published by\r\n * the Free Software Foundation.", {(0, "gpl")}),
+        ("Released under the GNU\nGeneral Public License, version 3.", {(0, "gpl")}), ("Licensed under the Artistic License 2.0", {(0, "unknown")}), ("License: EPL-2.0", {(0, "unknown")}), ("MIT", {(0, "mit")}),
+        ("He studied at MIT in Boston.", set()), ("The driver lost the license after the crash.", set()), ("The license of the pub was renewed last week.", set()), ("", set()), (None, set()),
+    ]
+    rows += [(10**6 + i, t) for i, (t, _) in enumerate(notices)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r[0], r[1], r[2], r[3], round(r[4], 6), round(r[5], 6)) for r in licences.classify(frame, licence_model).collect())
+    assert got == sorted(licences.brute_force(rows, licence_model))
+    for i, (_, want) in enumerate(notices):
+        assert {(r[1], r[2]) for r in got if r[0] == 10**6 + i} == want
+
+
+def test_licence_probabilities_are_calibrated(spark, licence_model):
+    bins = licences.reliability(spark, licence_model).collect()
+    n = sum(r.n for r in bins)
+    assert n > 300 and sum(r.n * abs(r.confidence - r.accuracy) for r in bins) / n < 0.06 and sum(r.n * r.accuracy for r in bins) / n > 0.9
+    # No held-out licence of another family is confirmed as one of the families.
+    held = [(i, t) for i, (t, c, h) in enumerate(licences._examples()) if h and c == licences.OTHER]
+    found = licences.classify(spark.createDataFrame(held, "doc_id long, text string"), licence_model)
+    assert len(held) > 150 and found.where("licence <> 'unknown'").count() <= licences.FALSE_SHARE * len(held) and found.count() > 0.8 * len(held)
