@@ -10,7 +10,7 @@ import struct
 
 import numpy as np
 
-from .grammar import MISSING, R_VERSION, ROXYGEN_VERSION, Parse, flatten
+from .grammar import MISSING, Parse, flatten
 from .kinds import ID
 
 # Fixed values of the digests.
@@ -123,8 +123,8 @@ def r_diagnostics(p: Parse) -> bytes:
 def snapshot(p: Parse, flat=None) -> bytes:
     out = Frames(b"parse-snapshot-v1")
     out.field(1, p.lexed.text)
-    out.version(2, R_VERSION)
-    out.version(3, ROXYGEN_VERSION)
+    out.version(2, p.r_version)
+    out.version(3, p.roxygen_version)
     out.field(4, p.completeness)
     out.field(5, r_tree(p, flat))
     out.field(6, r_diagnostics(p))

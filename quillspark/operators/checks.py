@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.syntax import syntax, tokens
+from ..functions import canon
+from ..plans.syntax import syntax, table
 
 
 def case_id_valid(cases: DataFrame, col: str = "case_id") -> DataFrame:
@@ -22,25 +24,32 @@ def matches(results: DataFrame, expected: DataFrame) -> DataFrame:
     return results.join(e, "case_id", "left").select("case_id", F.coalesce(same, F.lit(False)).alias("matches"))
 
 
-def token_coverage(toks: DataFrame) -> DataFrame:
-    """doc_id, covered bytes, and whether tokens follow each other without gap or overlap."""
-    order = Window.partitionBy("doc_id").orderBy("tok")
-    gap = F.col("start") != F.coalesce(F.lag("end").over(order), F.lit(0))
-    return toks.withColumn("gap", gap).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("covered"), (F.sum(F.col("gap").cast("int")) == 0).alias("contiguous"))
+def token_coverage(parsed: DataFrame) -> DataFrame:
+    """doc_id, covered bytes, and whether tokens follow each other without gap or overlap; of rows with tokens (start, end)."""
+    n = F.size("tokens")
+    covered = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + t["end"] - t["start"])
+    joined = F.forall(F.zip_with(F.slice("tokens", F.lit(2), n), F.slice("tokens", F.lit(1), n - 1), lambda t, before: t["start"] == before["end"]), lambda x: x)
+    return parsed.where(n > 0).select("doc_id", covered.alias("covered"), ((F.get("tokens", F.lit(0))["start"] == 0) & joined).alias("contiguous"))
+
+
+#: What ``lossless_flags`` reads.
+LOSSLESS = ["tokens.text", "elements.text"]
 
 
 def lossless(sources: DataFrame) -> DataFrame:
     """doc_id, and whether tokens and tree each give the text back."""
-    found = syntax(sources, ["tokens", "elements"], keep=["text"])
-    token_text = F.array_join(F.transform("tokens", lambda t: t["text"]), "")
-    tree_text = F.array_join(F.transform(F.filter("elements", lambda e: e["is_token"]), lambda e: e["text"]), "")
+    return lossless_flags(syntax(sources, LOSSLESS, keep=["text"]))
+
+
+def lossless_flags(parsed: DataFrame) -> DataFrame:
+    """The same of parsed rows; elements without text are nodes."""
     text = F.coalesce("text", F.lit(""))
-    return found.select("doc_id", (token_text == text).alias("tokens_lossless"), (tree_text == text).alias("tree_lossless"))
+    return parsed.select("doc_id", (F.array_join("tokens.text", "") == text).alias("tokens_lossless"), (F.array_join("elements.text", "") == text).alias("tree_lossless"))
 
 
 def prefixes(sources: DataFrame) -> DataFrame:
     """doc_id, cut, text: every prefix that ends at a token, the empty one too."""
-    cuts = tokens(sources).select("doc_id", "end").unionByName(sources.select("doc_id", F.lit(0).cast("long").alias("end")))
+    cuts = table(sources, "tokens.end").unionByName(sources.select("doc_id", F.lit(0).cast("long").alias("end")))
     raw = sources.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
     joined = cuts.join(raw, "doc_id")
     return joined.select("doc_id", F.col("end").alias("cut"), F.decode(F.substring("raw", F.lit(1), F.col("end").cast("int")), "UTF-8").alias("text"))
@@ -49,9 +58,8 @@ def prefixes(sources: DataFrame) -> DataFrame:
 def prefix_property(sources: DataFrame) -> DataFrame:
     """doc_id, prefixes, all_lossless: the parser is total and lossless on every prefix."""
     cut = prefixes(sources).withColumn("own", F.col("doc_id")).select(F.monotonically_increasing_id().alias("doc_id"), "text", "own")
-    found = syntax(cut, ["elements"], keep=["text", "own"])
-    tree_text = F.array_join(F.transform(F.filter("elements", lambda e: e["is_token"]), lambda e: e["text"]), "")
-    return found.groupBy(F.col("own").alias("doc_id")).agg(F.count(F.lit(1)).alias("prefixes"), F.bool_and(tree_text == F.col("text")).alias("all_lossless"))
+    found = syntax(cut, ["elements.text"], keep=["text", "own"])
+    return found.groupBy(F.col("own").alias("doc_id")).agg(F.count(F.lit(1)).alias("prefixes"), F.bool_and(F.array_join("elements.text", "") == F.col("text")).alias("all_lossless"))
 
 
 def determinism(sources: DataFrame, workers: int = 4, parts: int = 16) -> DataFrame:
@@ -73,3 +81,34 @@ def event_validation(events: DataFrame) -> DataFrame:
     rows = rows.withColumn("error", error).withColumn("step", step)
     out = rows.groupBy("doc_id").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("ord"))).alias("first"), F.sum("step").alias("open"))
     return out.select("doc_id", F.coalesce("first", F.when(F.col("open") > 0, F.concat(F.lit("UnclosedNodes:"), F.col("open")))).alias("error"))
+
+
+def _digests(df: DataFrame, column: str, one) -> DataFrame:
+    """doc_id, digest and error of each row's array, by an Arrow function."""
+
+    def run(batches):
+        for b in batches:
+            found = [one(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d for d, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], ["doc_id", "digest", "error"])
+
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), column).mapInArrow(run, "doc_id long, digest string, error string")
+
+
+def event_digests(events: DataFrame) -> DataFrame:
+    """doc_id, digest, error of each stream of tree events (ord, what, kind, text); an invalid one has an error."""
+    rows = events.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "what", "kind", "text"))).alias("events"))
+    return _digests(rows, "events", lambda es: canon.tree_events_digest([(e["what"], e["kind"], e["text"]) for e in es]))
+
+
+_DIAGNOSTIC = ("severity", "start", "end", "code", "message", "notes")
+
+
+def diagnostic_digests(diagnostics: DataFrame) -> DataFrame:
+    """doc_id, digest, error (null) of each diagnostic (severity, start, end, code, message, notes)."""
+    return _digests(diagnostics.select("doc_id", F.struct(*_DIAGNOSTIC).alias("d")), "d", lambda d: (canon.diagnostic_digest(d), None))
+
+
+def diagnostic_set_digests(diagnostics: DataFrame) -> DataFrame:
+    """doc_id, digest, error (null) of all diagnostics of a document, whatever their order."""
+    rows = diagnostics.groupBy("doc_id").agg(F.collect_list(F.struct(*_DIAGNOSTIC)).alias("ds"))
+    return _digests(rows, "ds", lambda ds: (canon.diagnostics_digest(ds), None))

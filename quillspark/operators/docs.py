@@ -1,51 +1,84 @@
-"""Documentation blocks relationally: runs, projection, tags, association and point mapping.
+"""Documentation blocks relationally: runs, projection, tags, association and mapping of points and ranges.
 
-``runs`` and ``associate`` work on token and element tables with windows and as-of joins; the flat
-``rox_*`` tables come from the parse plan.
+``runs`` and ``associate`` read parsed rows (``syntax(s, FIELDS)``, ``WITH_TREE``); the flat ``rox_*``
+tables come from the parse plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import REGISTRY
+from . import tree
 
 
-def runs(tokens: DataFrame) -> DataFrame:
-    """doc_id, block, h_start, h_end, line_count of adjacent documentation comments: gaps and islands.
+#: What ``runs`` reads of a parse, and ``associate`` beside it.
+FIELDS = ["tokens.kind,start,end"]
+WITH_TREE = [*FIELDS, tree.FIELDS]
+
+
+def _comments() -> Column:
+    """Of the tokens of a row: its documentation comments, and whether each is the first of a block.
 
     Lines join when one NEWLINE, or one and a WHITESPACE, lies between them.
     """
-    order = Window.partitionBy("doc_id").orderBy("tok")
-    rows = tokens.select("doc_id", "tok", "kind", "start", "end").withColumn("k1", F.lag("kind", 1).over(order)).withColumn("k2", F.lag("kind", 2).over(order)).withColumn("k3", F.lag("kind", 3).over(order))
-    joined = ((F.col("k1") == "NEWLINE") & (F.col("k2") == "ROXYGEN_COMMENT")) | ((F.col("k1") == "WHITESPACE") & (F.col("k2") == "NEWLINE") & (F.col("k3") == "ROXYGEN_COMMENT"))
-    lines = rows.where("kind = 'ROXYGEN_COMMENT'").withColumn("first", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
-    lines = lines.withColumn("block", F.sum("first").over(order) - 1)
-    return lines.groupBy("doc_id", "block").agg(F.min("start").alias("h_start"), F.max("end").alias("h_end"), F.count(F.lit(1)).alias("line_count"))
-
-
-def associate(blocks: DataFrame, elements: DataFrame, sources: DataFrame) -> DataFrame:
-    """doc_id, block, state, expr_start, expr_end, gap_start, gap_end: a forward as-of join to expressions."""
-    from .tree import children
-
-    lists = elements.where("kind = 'EXPRESSION_LIST' AND parent_id = 0")
-    tops = children(elements, lists).where("NOT is_token AND kind NOT IN ('ERROR', 'MISSING', 'EXPRESSION_LIST')").select("doc_id", "id", "last_desc", "start", "end")
-    order = Window.partitionBy("doc_id").orderBy("block")
-    b = blocks.withColumn("next_start", F.lead("h_start").over(order))
-    t = tops.select(F.col("doc_id").alias("t_doc"), F.col("start").alias("t_start"), F.struct("start", "id", "end", "last_desc").alias("t"))
-    near = b.join(t, (F.col("doc_id") == F.col("t_doc")) & (F.col("t_start") >= F.col("h_end")), "left").groupBy("doc_id", "block", "h_start", "h_end", "next_start").agg(F.min("t").alias("t"))
-    near = near.select("*", F.col("t.start").alias("expr_start"), F.col("t.end").alias("expr_end"), F.col("t.id").alias("t_id"), F.col("t.last_desc").alias("t_last"))
-    code = elements.where("is_token AND kind NOT IN ('WHITESPACE', 'NEWLINE', 'COMMENT', 'ROXYGEN_COMMENT') AND kind <> 'NULL_KW'").select(F.col("doc_id").alias("c_doc"), F.col("id").alias("c_id"))
-    other = near.join(code, (F.col("doc_id") == F.col("c_doc")) & F.col("c_id").between(F.col("t_id"), F.col("t_last")), "left_semi").select(F.col("doc_id").alias("o_doc"), F.col("block").alias("o_block"))
-    near = near.join(other, (F.col("doc_id") == F.col("o_doc")) & (F.col("block") == F.col("o_block")), "left").join(sources.select("doc_id", F.octet_length("text").cast("long").alias("size")), "doc_id")
+    def line(t, i):
+        k1, k2, k3 = (F.get("tokens", i - k)["kind"] for k in (1, 2, 3))
+        joined = ((k1 == "NEWLINE") & (k2 == "ROXYGEN_COMMENT")) | ((k1 == "WHITESPACE") & (k2 == "NEWLINE") & (k3 == "ROXYGEN_COMMENT"))
+        return F.when(t["kind"] == "ROXYGEN_COMMENT", F.struct(t["start"].alias("start"), t["end"].alias("end"), (~F.coalesce(joined, F.lit(False))).alias("first")))
+
+    return F.filter(F.transform("tokens", line), lambda x: x.isNotNull())
+
+
+def _blocks(parsed: DataFrame) -> DataFrame:
+    """``parsed`` with _blocks, an array of block, h_start, h_end, line_count, next_start."""
+    df = parsed.select("*", F.inline(F.array(F.struct(_comments().alias("_lines")))))
+    firsts = F.filter(F.transform("_lines", lambda x, i: F.when(x["first"], i)), lambda i: i.isNotNull())
+    df = df.select("*", F.inline(F.array(F.struct(firsts.alias("_firsts")))))
+
+    def block(i, k):
+        after = F.coalesce(F.get("_firsts", k + 1), F.size("_lines"))
+        return F.struct(k.cast("long").alias("block"), F.get("_lines", i)["start"].alias("h_start"), F.get("_lines", after - 1)["end"].alias("h_end"), (after - i).cast("long").alias("line_count"), F.get("_lines", after)["start"].alias("next_start"))
+
+    return df.withColumn("_blocks", F.transform("_firsts", block)).drop("_lines", "_firsts")
+
+
+def runs(parsed: DataFrame) -> DataFrame:
+    """doc_id, block, h_start, h_end, line_count of each block, without a shuffle."""
+    return _blocks(parsed).select("doc_id", F.inline("_blocks")).drop("next_start")
+
+
+def associate(parsed: DataFrame) -> DataFrame:
+    """doc_id, block, state, expr_start, expr_end, gap_start, gap_end: each block with the first expression from its end on.
+
+    Blocks and top expressions of a document go through one window, each block taking the next expression.
+    """
+    code = ("WHITESPACE", "NEWLINE", "COMMENT", "ROXYGEN_COMMENT", "NULL_KW")
+
+    def top(e):
+        inside = F.slice("elements", e["id"] + 1, e["last_desc"] - e["id"] + 1)
+        return F.struct(e["start"].alias("at"), F.lit(1).alias("order"), F.struct(e["start"].alias("start"), e["end"].alias("end"), ~F.exists(inside, lambda k: k["is_token"] & ~k["kind"].isin(*code)).alias("only_null")).alias("t"), F.lit(None).cast(_BLOCK).alias("b"))
+
+    def block(b):
+        return F.struct(b["h_end"].alias("at"), F.lit(0).alias("order"), F.lit(None).cast(_TOP).alias("t"), b.alias("b"))
+
+    size = F.get("elements", F.lit(0))["end"].alias("size")
+    rows = _blocks(parsed).where(F.size("_blocks") > 0).select("doc_id", size, F.inline(F.concat(F.transform("_blocks", block).cast(_ENTRIES), F.transform(F.filter(tree.tops(), lambda e: ~e["kind"].isin("ERROR", "MISSING")), top).cast(_ENTRIES))))
+    later = Window.partitionBy("doc_id").orderBy("at", "order").rowsBetween(0, Window.unboundedFollowing)
+    near = rows.withColumn("t", F.first_value("t", ignoreNulls=True).over(later)).where("order = 0").select("doc_id", "size", "b.*", "t")
     state = (
-        F.when(F.col("next_start").isNotNull() & (F.col("expr_start").isNull() | (F.col("next_start") < F.col("expr_start"))), "Ambiguous")
-        .when(F.col("expr_start").isNull(), "Detached")
-        .when(F.col("o_doc").isNull(), "TerminatedByNull")
+        F.when(F.col("next_start").isNotNull() & (F.col("t").isNull() | (F.col("next_start") < F.col("t.start"))), "Ambiguous")
+        .when(F.col("t").isNull(), "Detached")
+        .when(F.col("t.only_null"), "TerminatedByNull")
         .otherwise("Normal")
     )
-    return near.select("doc_id", "block", state.alias("state"), "expr_start", "expr_end", F.col("h_end").alias("gap_start"), F.coalesce("expr_start", "size").alias("gap_end"))
+    return near.select("doc_id", "block", state.alias("state"), F.col("t.start").alias("expr_start"), F.col("t.end").alias("expr_end"), F.col("h_end").alias("gap_start"), F.coalesce("t.start", "size").alias("gap_end"))
+
+
+_BLOCK = "struct<block:bigint,h_start:bigint,h_end:bigint,line_count:bigint,next_start:bigint>"
+_TOP = "struct<start:bigint,end:bigint,only_null:boolean>"
+_ENTRIES = f"array<struct<at:bigint,order:int,t:{_TOP},b:{_BLOCK}>>"
 
 
 def projection(rox_tokens: DataFrame) -> DataFrame:
@@ -77,18 +110,54 @@ def params(rox_elements: DataFrame, rox_tokens: DataFrame) -> DataFrame:
     return names.select("doc_id", "p_start").join(text, ["doc_id", "p_start"]).select("doc_id", "p_start", F.col("text").alias("name"))
 
 
-def map_points(spans: DataFrame, points: DataFrame, affinity: str = "Right") -> DataFrame:
+def map_points(spans: DataFrame, points: DataFrame, affinity: str = "Right", edges: bool = True) -> DataFrame:
     """points (doc_id, point) with ``mapped``; spans have doc_id, from_start, from_end, to_start, to_end.
 
     Inside a span, or at the boundary on the side of the affinity, a point moves along; at a boundary
-    that nothing touches from that side, it goes with the span that ends or begins there.
+    that nothing touches from that side, it goes with the span that ends or begins there, unless
+    ``edges`` is off. Spans do not overlap: one window finds the last one that begins before a point.
     """
-    p, a, z = F.col("point"), F.col("from_start"), F.col("from_end")
     right = affinity == "Right"
-    inside = ((a <= p) & (p < z)) if right else ((a < p) & (p <= z))
-    edge = (a == p) if right else (z == p)
-    s = spans.select(F.col("doc_id").alias("s_doc"), "from_start", "from_end", "to_start", "to_end")
-    joined = points.join(s, (F.col("doc_id") == F.col("s_doc")) & (a <= p) & (p <= z), "left")
-    value = F.when(inside, F.col("to_start") + p - a).when(edge, F.col("to_start") if right else F.col("to_end"))
-    best = F.when(inside, 0).when(edge, 1)
-    return joined.groupBy(*points.columns).agg(F.min_by(value, F.struct(best, a if right else -a)).alias("mapped"))
+    p = F.struct(*points.columns)
+    kind = points.select(p.alias("p")).schema["p"].dataType
+    span = F.struct("from_start", "from_end", "to_start", "to_end")
+    # With Right the span that begins at the point counts, with Left the one that ends there; empty spans hold no point.
+    rows = spans.select("doc_id", F.col("from_start").alias("_at"), F.lit(0 if right else 1).alias("_order"), F.when(F.col("from_end") > F.col("from_start"), span).alias("_s"), span.alias("_any"), F.lit(None).cast(kind).alias("p"))
+    rows = rows.unionByName(points.select("doc_id", F.col("point").alias("_at"), F.lit(1 if right else 0).alias("_order"), p.alias("p")), allowMissingColumns=True)
+    order = Window.partitionBy("doc_id").orderBy("_at", "_order", "_any.from_end").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("s", F.last_value("_s", ignoreNulls=True).over(order)).where("p IS NOT NULL").select("p.*", "s")
+    at, a, z = F.col("point"), F.col("s.from_start"), F.col("s.from_end")
+    inside = ((a <= at) & (at < z)) if right else ((a < at) & (at <= z))
+    value = F.when(inside, F.col("s.to_start") + at - a)
+    out = found.withColumn("mapped", value).drop("s")
+    if not edges:
+        return out
+    # What no span holds on that side may still lie on an edge: the first that begins there, or the last that ends there.
+    edge = spans.groupBy("doc_id", F.col("from_start" if right else "from_end").alias("point")).agg((F.min_by("to_start", "to_start") if right else F.max_by("to_end", "to_end")).alias("_edge"))
+    return out.join(edge, ["doc_id", "point"], "left").select(*points.columns, F.coalesce("mapped", "_edge").alias("mapped"))
+
+
+def map_ranges(spans: DataFrame, ranges: DataFrame, start_affinity: str = "Right", end_affinity: str = "Left", edges: bool = True) -> DataFrame:
+    """ranges (doc_id, start, end) with ``mapped_start`` and ``mapped_end``, both null where either end has no place."""
+    keyed = ranges.withColumn("_start", F.col("start")).withColumn("_end", F.col("end"))
+    left = map_points(spans, keyed.withColumn("point", F.col("_start")), start_affinity, edges).withColumnRenamed("mapped", "_a").drop("point")
+    both = map_points(spans, left.withColumn("point", F.col("_end")), end_affinity, edges).withColumnRenamed("mapped", "_z").drop("point")
+    known = F.col("_a").isNotNull() & F.col("_z").isNotNull()
+    return both.select(*ranges.columns, F.when(known, F.col("_a")).alias("mapped_start"), F.when(known, F.col("_z")).alias("mapped_end"))
+
+
+def spans_of(tokens: DataFrame, to: str = "host") -> DataFrame:
+    """The spans that lead from the projection to the host, or back, from ``rox_tokens``."""
+    a, b = ("p", "h") if to == "host" else ("h", "p")
+    return tokens.select("doc_id", F.col(f"{a}_start").alias("from_start"), F.col(f"{a}_end").alias("from_end"), F.col(f"{b}_start").alias("to_start"), F.col(f"{b}_end").alias("to_end"))
+
+
+def embedded_spans(mappings: DataFrame) -> DataFrame:
+    """The spans that lead from the embedded code of a document's blocks to the host; doc_id becomes (doc_id, block)."""
+    return mappings.select(F.struct("doc_id", "block").alias("doc_id"), F.col("e_start").alias("from_start"), F.col("e_end").alias("from_end"), F.col("h_start").alias("to_start"), F.col("h_end").alias("to_end"))
+
+
+def embedded_to_host(mappings: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges (doc_id, block, start, end) in embedded code with mapped_start and mapped_end in the host."""
+    keyed = ranges.select(F.struct("doc_id", "block").alias("doc_id"), "start", "end")
+    return map_ranges(embedded_spans(mappings), keyed, edges=False).select("doc_id.doc_id", "doc_id.block", "start", "end", "mapped_start", "mapped_end")

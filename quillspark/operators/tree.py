@@ -1,7 +1,9 @@
-"""Navigation, locations and validation over the elements table, with joins on doc_id.
+"""Navigation, locations and validation of trees.
 
-Ids are in preorder: the descendants of ``n`` are the ids from n + 1 to n.last_desc, so nothing here
-is recursive. All joins start with an equality on doc_id; keep one partitioning by doc_id through.
+Views of syntax (calls, arguments, formals, operands, ...) read parsed rows, ``syntax(s, [FIELDS])``: a
+row's elements lie in the order of their ids and name their kids, so a view is a pass over the row
+and shuffles nothing. ``children`` and ``descendants`` join tables that are flat already; ids are in
+preorder, the descendants of ``n`` are the ids from n + 1 to n.last_desc, so nothing is recursive.
 """
 
 from __future__ import annotations
@@ -23,101 +25,196 @@ def is_expression() -> Column:
     return F.col("kind").isin(*sorted(EXPRESSIONS))
 
 
+#: Fields of the elements that the functions over parsed rows read.
+FIELDS = "elements.id,parent_id,child_index,is_token,kind,start,end,last_desc,text,kids"
+
+
+def _at(i: Column) -> Column:
+    """The element of that id: elements lie in the order of their ids."""
+    return F.element_at("elements", i + 1)
+
+
+def _kids(e: Column) -> Column:
+    return F.transform(e["kids"], _at)
+
+
+def _first(found: Column) -> Column:
+    return F.try_element_at(found, F.lit(1))
+
+
+def _last(found: Column) -> Column:
+    return F.try_element_at(found, F.lit(-1))
+
+
+def _of(kind: str):
+    return F.filter("elements", lambda e: e["kind"] == kind)
+
+
+def _nodes(e: Column) -> Column:
+    return F.filter(_kids(e), lambda k: ~k["is_token"])
+
+
+def _tokens(e: Column) -> Column:
+    return F.filter(_kids(e), lambda k: k["is_token"] & ~k["kind"].isin(*sorted(TRIVIA)))
+
+
+def _expression(k: Column) -> Column:
+    return ~k["is_token"] & k["kind"].isin(*sorted(EXPRESSIONS))
+
+
+def _rows(parsed: DataFrame, found: Column) -> DataFrame:
+    """A row for each struct of an array; the parse it comes from goes."""
+    return parsed.select("doc_id", F.inline(found))
+
+
 def children(elements: DataFrame, parents: DataFrame) -> DataFrame:
-    """Child elements of some nodes, with the parent's columns named p_*."""
+    """Child elements of some nodes of a flat table, with the parent's columns named p_*."""
     p = parents.select(F.col("doc_id").alias("p_doc"), F.col("id").alias("p_id"), F.col("kind").alias("p_kind"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
     return elements.join(p, (elements["doc_id"] == p["p_doc"]) & (elements["parent_id"] == p["p_id"])).drop("p_doc")
 
 
-def top_expressions(elements: DataFrame) -> DataFrame:
-    """The expressions of each source file, in order."""
-    lists = elements.where("kind = 'EXPRESSION_LIST' AND parent_id = 0")
-    return children(elements, lists).where(is_expression() & ~F.col("is_token"))
+def tops() -> Column:
+    """Of the array of a parse: what stands at the top of the source."""
+    lists = F.filter(_kids(_at(F.lit(0))), lambda k: k["kind"] == "EXPRESSION_LIST")
+    found = F.filter(_kids(_first(lists)), _expression)
+    return F.coalesce(found, F.filter("elements", lambda e: F.lit(False)))
+
+
+def top_expressions(parsed: DataFrame) -> DataFrame:
+    """doc_id, id, kind, start, end, last_desc of the expressions of each source, in order."""
+    return _rows(parsed, F.transform(tops(), lambda e: F.struct(*[e[c].alias(c) for c in ("id", "kind", "start", "end", "last_desc")])))
 
 
-def calls(elements: DataFrame) -> DataFrame:
+def calls(parsed: DataFrame) -> DataFrame:
     """doc_id, id, start, end, callee (text of a plain name, else null), callee_kind, n_args."""
-    nodes = elements.where("kind = 'CALL_EXPR'")
-    kids = children(elements, nodes).where(~F.col("is_token"))
-    callee = kids.groupBy("doc_id", "p_id").agg(F.min_by("id", "child_index").alias("callee_id"), F.min_by("kind", "child_index").alias("callee_kind"), F.max(F.when(F.col("kind") == "ARGUMENT_LIST", F.col("id"))).alias("list_id"))
-    names = elements.where("is_token AND kind = 'IDENTIFIER'").groupBy("doc_id", "parent_id").agg(F.min_by("text", "child_index").alias("name"))
-    arguments = elements.where("kind = 'ARGUMENT'").groupBy("doc_id", F.col("parent_id").alias("list_id")).agg(F.count(F.lit(1)).alias("n_args"))
-    out = nodes.select("doc_id", F.col("id").alias("p_id"), "start", "end").join(callee, ["doc_id", "p_id"])
-    out = out.join(names.withColumnRenamed("parent_id", "callee_id"), ["doc_id", "callee_id"], "left").join(arguments, ["doc_id", "list_id"], "left")
-    return out.select("doc_id", F.col("p_id").alias("id"), "start", "end", F.when(F.col("callee_kind") == "IDENTIFIER_EXPR", F.col("name")).alias("callee"), "callee_kind", F.coalesce("n_args", F.lit(0)).alias("n_args"))
-
-
-def call_arguments(elements: DataFrame) -> DataFrame:
-    """doc_id, call_id, position, tag, value_kind of every argument of a call."""
-    lists = children(elements, elements.where("kind = 'CALL_EXPR'")).where("kind = 'ARGUMENT_LIST'").select("doc_id", F.col("id").alias("list_id"), F.col("p_id").alias("call_id"))
-    args = elements.where("kind = 'ARGUMENT'").select("doc_id", F.col("parent_id").alias("list_id"), F.col("id").alias("arg_id"), "child_index").join(lists, ["doc_id", "list_id"])
-    kids = elements.select("doc_id", F.col("parent_id").alias("arg_id"), "is_token", "kind", "text", F.col("child_index").alias("at"))
-    inner = kids.groupBy("doc_id", "arg_id").agg(F.min_by(F.when(F.col("is_token") & F.col("kind").isin(*sorted(TAGS)), F.col("text")), F.when(F.col("is_token") & F.col("kind").isin(*sorted(TAGS)), F.col("at"))).alias("tag"), F.max_by(F.when(~F.col("is_token"), F.col("kind")), F.when(~F.col("is_token"), F.col("at"))).alias("value_kind"))
-    from pyspark.sql import Window
 
-    order = Window.partitionBy("doc_id", "call_id").orderBy("child_index")
-    return args.join(inner, ["doc_id", "arg_id"]).select("doc_id", "call_id", (F.row_number().over(order) - 1).alias("position"), "tag", "value_kind")
+    def one(e):
+        callee, listed = _first(_nodes(e)), _first(F.filter(_nodes(e), lambda k: k["kind"] == "ARGUMENT_LIST"))
+        name = _first(F.filter(_kids(callee), lambda k: k["kind"] == "IDENTIFIER"))["text"]
+        n = F.size(F.filter(_kids(listed), lambda k: k["kind"] == "ARGUMENT")).cast("long")
+        return F.struct(e["id"].alias("id"), e["start"].alias("start"), e["end"].alias("end"), F.when(callee["kind"] == "IDENTIFIER_EXPR", name).alias("callee"), callee["kind"].alias("callee_kind"), n.alias("n_args"))
+
+    return _rows(parsed, F.transform(_of("CALL_EXPR"), one))
+
 
+def call_arguments(parsed: DataFrame, node: str = "CALL_EXPR", listed: str = "ARGUMENT_LIST") -> DataFrame:
+    """doc_id, call_id, position, tag, value_kind of every argument of a call, or of an index (see ``indices``)."""
 
-def function_params(elements: DataFrame) -> DataFrame:
+    def one(e):
+        own = F.filter(_kids(_first(F.filter(_nodes(e), lambda k: k["kind"] == listed))), lambda k: k["kind"] == "ARGUMENT")
+        # A tag is told by its ``=``: a name alone is the value's.
+        return F.transform(
+            own,
+            lambda a, i: F.struct(
+                e["id"].alias("call_id"),
+                i.alias("position"),
+                _first(F.filter(_kids(a), lambda k: k["is_token"] & k["kind"].isin(*sorted(TAGS))))["text"].alias("tag"),
+                _last(_nodes(a))["kind"].alias("value_kind"),
+            ),
+        )
+
+    return _rows(parsed, F.flatten(F.transform(_of(node), one)))
+
+
+def indices(parsed: DataFrame, node: str = "SUBSET_EXPR") -> DataFrame:
+    """The same of ``x[...]``, or of ``x[[...]]`` as SUBSET2_EXPR: arguments that are no errors."""
+    return call_arguments(parsed, node, "INDEX_ARGUMENT_LIST")
+
+
+def function_params(parsed: DataFrame) -> DataFrame:
     """doc_id, function_id, position, name, has_default of every formal; body_kind of its function."""
-    from pyspark.sql import Window
 
-    functions = elements.where("kind = 'FUNCTION_EXPR'")
-    kids = children(elements, functions)
-    parts = kids.groupBy("doc_id", "p_id").agg(F.max(F.when(F.col("kind") == "PARAMETER_LIST", F.col("id"))).alias("list_id"), F.max_by(F.when(is_expression() & ~F.col("is_token"), F.col("kind")), F.when(is_expression() & ~F.col("is_token"), F.col("child_index"))).alias("body_kind"))
-    formals = elements.where("kind = 'PARAMETER'").select("doc_id", F.col("parent_id").alias("list_id"), F.col("id").alias("formal_id"), "child_index")
-    kids = elements.where("is_token AND kind IN ('IDENTIFIER', 'ELLIPSIS', 'DOT_DOT_I', 'EQ')").groupBy("doc_id", F.col("parent_id").alias("formal_id")).agg(F.min_by("text", "child_index").alias("name"), F.max(F.col("kind") == "EQ").alias("has_default"))
-    order = Window.partitionBy("doc_id", "p_id").orderBy("child_index")
-    out = parts.join(formals, ["doc_id", "list_id"]).join(kids, ["doc_id", "formal_id"], "left")
-    return out.select("doc_id", F.col("p_id").alias("function_id"), (F.row_number().over(order) - 1).alias("position"), "name", F.coalesce("has_default", F.lit(False)).alias("has_default"), "body_kind")
+    def one(e):
+        own = F.filter(_kids(_first(F.filter(_nodes(e), lambda k: k["kind"] == "PARAMETER_LIST"))), lambda k: k["kind"] == "PARAMETER")
+        return F.transform(
+            own,
+            lambda a, i: F.struct(
+                e["id"].alias("function_id"),
+                i.alias("position"),
+                _first(F.filter(_kids(a), lambda k: k["kind"].isin("IDENTIFIER", "ELLIPSIS", "DOT_DOT_I")))["text"].alias("name"),
+                F.exists(_kids(a), lambda k: k["kind"] == "EQ").alias("has_default"),
+                _last(F.filter(_kids(e), _expression))["kind"].alias("body_kind"),
+            ),
+        )
 
+    return _rows(parsed, F.flatten(F.transform(_of("FUNCTION_EXPR"), one)))
 
-def duplicate_formals(elements: DataFrame) -> DataFrame:
+
+def duplicate_formals(parsed: DataFrame) -> DataFrame:
     """Formals whose name came before in the same list."""
     from pyspark.sql import Window
 
-    f = function_params(elements)
+    f = function_params(parsed)
     order = Window.partitionBy("doc_id", "function_id", "name").orderBy("position")
     return f.withColumn("nth", F.row_number().over(order)).where("nth > 1").drop("nth")
 
 
-def operands(elements: DataFrame, kind: str = "BINARY_EXPR") -> DataFrame:
-    """doc_id, id, operator, left_kind, right_kind of binary nodes, assignments, pipes or formulas."""
-    kids = children(elements, elements.where(F.col("kind") == kind))
-    node, token = ~F.col("is_token"), F.col("is_token") & ~F.col("kind").isin(*sorted(TRIVIA))
-    at = F.col("child_index")
-    return kids.groupBy("doc_id", F.col("p_id").alias("id")).agg(
-        F.min_by(F.when(token, F.col("text")), F.when(token, at)).alias("operator"),
-        F.min_by(F.when(token, F.col("kind")), F.when(token, at)).alias("operator_kind"),
-        F.min_by(F.when(node, F.col("kind")), F.when(node, at)).alias("left_kind"),
-        F.max_by(F.when(node, F.col("kind")), F.when(node, at)).alias("right_kind"),
-    )
+def operands(parsed: DataFrame, kind: str = "BINARY_EXPR") -> DataFrame:
+    """doc_id, id, operator, operator_kind, left_kind, right_kind of binary nodes, assignments, pipes, formulas, members or namespaces."""
+
+    def one(e):
+        operator = _first(_tokens(e))
+        return F.struct(e["id"].alias("id"), operator["text"].alias("operator"), operator["kind"].alias("operator_kind"), _first(_nodes(e))["kind"].alias("left_kind"), _last(_nodes(e))["kind"].alias("right_kind"))
+
+    return _rows(parsed, F.transform(_of(kind), one))
+
+
+def selections(parsed: DataFrame, kind: str = "MEMBER_EXPR") -> DataFrame:
+    """doc_id, id, operator, left_kind, name of ``x$name``, ``x@name`` or, as NAMESPACE_EXPR, ``package::name``."""
+
+    def one(e):
+        return F.struct(e["id"].alias("id"), _first(_tokens(e))["text"].alias("operator"), _first(_nodes(e))["kind"].alias("left_kind"), F.when(F.size(_tokens(e)) > 1, _last(_tokens(e))["text"]).alias("name"))
 
+    return _rows(parsed, F.transform(_of(kind), one))
 
-def branches(elements: DataFrame) -> DataFrame:
+
+def branches(parsed: DataFrame) -> DataFrame:
     """doc_id, id, then_kind, has_else of conditionals."""
-    kids = children(elements, elements.where("kind = 'IF_EXPR'")).where(~F.col("is_token"))
-    branch = is_expression()
-    return kids.groupBy("doc_id", F.col("p_id").alias("id")).agg(F.min_by(F.when(branch, F.col("kind")), F.when(branch, F.col("child_index"))).alias("then_kind"), F.max(F.col("kind") == "ELSE_CLAUSE").alias("has_else"))
+
+    def one(e):
+        return F.struct(e["id"].alias("id"), _first(F.filter(_kids(e), _expression))["kind"].alias("then_kind"), F.exists(_kids(e), lambda k: k["kind"] == "ELSE_CLAUSE").alias("has_else"))
+
+    return _rows(parsed, F.transform(_of("IF_EXPR"), one))
+
+
+def loops(parsed: DataFrame) -> DataFrame:
+    """doc_id, id, kind, variable (of ``for``), jumps (all inside) and body_kind of loops."""
+
+    def one(e):
+        condition = _first(F.filter(_nodes(e), lambda k: k["kind"] == "CONDITION"))
+        variable = F.when(e["kind"] == "FOR_EXPR", _first(F.filter(_kids(condition), lambda k: k["kind"] == "IDENTIFIER"))["text"])
+        inside = F.slice("elements", e["id"] + 2, e["last_desc"] - e["id"])
+        return F.struct(e["id"].alias("id"), e["kind"].alias("kind"), variable.alias("variable"), F.size(F.filter(inside, lambda k: k["kind"].isin("NEXT_EXPR", "BREAK_EXPR"))).cast("long").alias("jumps"), _last(F.filter(_kids(e), _expression))["kind"].alias("body_kind"))
+
+    found = F.filter("elements", lambda e: e["kind"].isin("WHILE_EXPR", "FOR_EXPR", "REPEAT_EXPR"))
+    return _rows(parsed, F.transform(found, one))
 
 
 def descendants(elements: DataFrame, of: DataFrame) -> DataFrame:
-    """Elements below some nodes (with node_id): an equality on doc_id and a range on ids."""
+    """Elements below some nodes (with node_id) of a flat table: an equality on doc_id and a range on ids."""
     n = of.select(F.col("doc_id").alias("n_doc"), F.col("id").alias("node_id"), F.col("last_desc").alias("n_last"))
     return elements.join(n, (elements["doc_id"] == n["n_doc"]) & (F.col("id") > F.col("node_id")) & (F.col("id") <= F.col("n_last"))).drop("n_doc", "n_last")
 
 
+#: What ``locations`` needs of elements, and ``resolve`` of those that it looks in.
+LOCATED = "elements.path,kind,start,end,is_token"
+RESOLVED = "elements.id,path_hash,kind,start,end,is_token"
+
+
 def locations(elements: DataFrame) -> DataFrame:
-    """A durable location of every element: doc_id, path, kind, start, end, is_token."""
-    return elements.select("doc_id", "path", "kind", "start", "end", "is_token")
+    """A durable location of every element that has a path: doc_id, path, kind, start, end, is_token."""
+    return elements.where("path IS NOT NULL").select("doc_id", "path", "kind", "start", "end", "is_token")
 
 
 def resolve(locs: DataFrame, elements: DataFrame) -> DataFrame:
-    """Locations with the id they resolve to, or WrongDocument, MissingElement or StaleElement."""
-    e = elements.select(F.col("doc_id").alias("e_doc"), F.col("path").alias("e_path"), "id", F.col("kind").alias("e_kind"), F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.col("is_token").alias("e_token"))
+    """Locations with the id they resolve to, or WrongDocument, MissingElement or StaleElement.
+
+    Paths meet by a hash of 64 bits that goes down the tree step by step, so elements need no paths.
+    """
+    e = elements.select(F.col("doc_id").alias("e_doc"), "path_hash", "id", F.col("kind").alias("e_kind"), F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.col("is_token").alias("e_token"))
     docs = elements.where("id = 0").select(F.col("doc_id").alias("known"))
-    out = locs.join(docs, F.col("doc_id") == F.col("known"), "left").join(e, (F.col("doc_id") == F.col("e_doc")) & (F.col("path") == F.col("e_path")), "left")
+    hashed = F.aggregate("path", F.lit(0).cast("long"), lambda h, k: F.xxhash64(h, k.cast("long")))
+    out = locs.withColumn("_hash", hashed).join(docs, F.col("doc_id") == F.col("known"), "left").join(e, (F.col("doc_id") == F.col("e_doc")) & (F.col("_hash") == F.col("path_hash")), "left")
     same = (F.col("kind") == F.col("e_kind")) & (F.col("start") == F.col("e_start")) & (F.col("end") == F.col("e_end")) & (F.col("is_token") == F.col("e_token"))
     error = F.when(F.col("known").isNull(), "WrongDocument").when(F.col("id").isNull(), "MissingElement").when(~same, "StaleElement")
     return out.select(*[F.col(c) for c in locs.columns], F.when(error.isNull(), F.col("id")).alias("id"), error.alias("error"))
@@ -135,12 +232,16 @@ def validate(elements: DataFrame, diagnostics: DataFrame, sources: DataFrame) ->
     return root.unionByName(as_node).unionByName(as_token).unionByName(other).unionByName(out)
 
 
+#: What ``violations`` reads.
+CHECKED = ["elements.is_token,kind_id,text", "diagnostics.end,recovery_end"]
+
+
 def violations(parsed: DataFrame) -> DataFrame:
     """doc_id and the same violations as an array, from a parse with elements, diagnostics and text: no shuffle."""
     size = F.octet_length(F.coalesce("text", F.lit("")))
     joined = F.array_join(F.transform(F.filter("elements", lambda e: e["is_token"]), lambda e: e["text"]), "")
     several = [
-        F.when(F.element_at("elements", 1)["kind"] != "SOURCE_FILE", F.array(F.lit("InvalidRoot"))),
+        F.when(F.element_at("elements", 1)["kind_id"] != ID["SOURCE_FILE"], F.array(F.lit("InvalidRoot"))),
         F.transform(F.filter("elements", lambda e: ~e["is_token"] & (e["kind_id"] < 256)), lambda e: F.lit("TokenKindUsedAsNode")),
         F.transform(F.filter("elements", lambda e: e["is_token"] & (e["kind_id"] >= 256)), lambda e: F.lit("NodeKindUsedAsToken")),
         F.when(joined != F.coalesce("text", F.lit("")), F.array(F.lit("SourceMismatch"))),

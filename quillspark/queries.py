@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions.grammar import ParserOptions
+from .functions.scan import LexerLimits
 from .functions.sidecar import SidecarOptions
+from .functions.udtf import register
 from .operators import checks, docs, lines, tree
-from .plans.syntax import diagnostics, once, syntax, table, tokens
-from .plans.syntax import elements as parsed_elements
+from .plans.syntax import diagnostics, elements, syntax, table, tokens
 from .sources import corpora as c
 from .sources import decode as d
 
 
 
-def elements(sources, **more):
-    """Elements for queries that join them with themselves: parsed once."""
-    return once(parsed_elements(sources, **more))
+def trees(sources):
+    """Parsed rows for the views of syntax."""
+    return syntax(sources, [tree.FIELDS])
 
 
 QUERIES: dict = {}
@@ -105,7 +106,7 @@ def logical_locations(spark, sf_dir):
   UNION ALL SELECT o_orderkey, 1, o_orderkey + 1, o_orderstatus || '.R' FROM orders UNION ALL SELECT o_orderkey, 3, 7, o_orderstatus || '.R' FROM orders""")
 def logical_segments(spark, sf_dir):
     s = c.directives(spark, sf_dir)
-    return lines.segments(s, lines.line_table(s))
+    return lines.segments(s, lines.directives(lines.line_table(s)))
 
 
 # Decoding.
@@ -168,6 +169,46 @@ def original_ranges(spark, sf_dir):
     return d.map_offsets(decoded, left, bias="Right").select("doc_id", "decoded_start", "orig_start", F.col("mapped").alias("orig_end"))
 
 
+@query("""WITH p AS (SELECT c_custkey AS doc_id, strlen(c_name) AS n, unnest([0, 1, 2, 3, 4, 5]) AS k FROM customer)
+  SELECT doc_id, CAST(CASE WHEN k = 0 THEN 0 ELSE n + k - 1 END AS BIGINT) AS "offset", CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN n WHEN 2 THEN n + 3 WHEN 3 THEN n + 4 WHEN 5 THEN n + 7 END AS BIGINT) AS exact,
+    CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN n WHEN 2 THEN n + 3 WHEN 3 THEN n + 4 WHEN 4 THEN n + 4 ELSE n + 7 END AS BIGINT) AS "left", CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN n WHEN 2 THEN n + 3 WHEN 3 THEN n + 4 ELSE n + 7 END AS BIGINT) AS "right" FROM p""")
+def offset_map_back(spark, sf_dir):
+    """From the original to the text: exact, and with either bias."""
+    decoded = d.decode_sources(_raw(spark, sf_dir, "FF7AE282", "utf8"))
+    n = "octet_length(c_name)"
+    out = _points(spark, sf_dir, ", ".join(f"{n} + {k}L" for k in range(5)))
+    for name, bias in (("exact", None), ("left", "Left"), ("right", "Right")):
+        out = d.map_offsets(decoded, out, to="decoded", bias=bias).withColumnRenamed("mapped", name)
+    return out
+
+
+@query("""SELECT c_custkey AS doc_id, unnest(CAST([0, 1, 2, 3, 4] AS BIGINT[])) AS ord, unnest(CAST([0, n, n + 3, n + 4, n + 7] AS BIGINT[])) AS decoded, unnest(CAST([0, n, n + 1, n + 2, n + 4] AS BIGINT[])) AS original FROM (SELECT c_custkey, strlen(c_name) AS n FROM customer)""")
+def offset_boundaries(spark, sf_dir):
+    return d.boundaries(d.decode_sources(_raw(spark, sf_dir, "FF7AE282", "utf8")))
+
+
+@query("""SELECT c_custkey AS doc_id, CASE k WHEN 3 THEN c_name || '���' END AS text, CASE k WHEN 0 THEN 'OriginalTooLarge:' || n || ':' || (n + 3) WHEN 1 THEN 'InvalidUtf8:' || n || ':1' WHEN 2 THEN 'DecodedTooLarge:' || (n + 4) || ':' || (n + 6) END AS error,
+  CAST(CASE k WHEN 3 THEN 3 ELSE 0 END AS BIGINT) AS issues FROM (SELECT c_custkey, c_name, strlen(c_name) AS n, c_custkey % 4 AS k FROM customer)""")
+def source_limits(spark, sf_dir):
+    """Bytes that are too many, not UTF-8 in strict mode, too many once decoded, or just wrong: names are of one length."""
+    raw = _raw(spark, sf_dir, "FFFEFF", "utf8").withColumn("mode", F.when(F.col("doc_id") % 4 == 1, "strict").otherwise("recovering"))
+    n = raw.select(F.max(F.octet_length("raw")) - 3).first()[0]
+    parts = [(0, n, 1 << 20), (1, 1 << 20, 1 << 20), (2, 1 << 20, n + 4), (3, 1 << 20, 1 << 20)]
+    out = [d.from_bytes(raw.where(F.col("doc_id") % 4 == k), most, decoded) for k, most, decoded in parts]
+    found = out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    return found.select("doc_id", "text", "error", F.size("issues").cast("long").alias("issues"))
+
+
+@query("""SELECT c_custkey AS doc_id, [NULL, 'DirectiveLineOutOfBounds:5:5', 'ZeroLogicalLine:2', 'DirectivesOutOfOrder', 'DirectivesOutOfOrder'][c_custkey % 5 + 1] AS error FROM customer""")
+def directive_errors(spark, sf_dir):
+    """Directives given by a caller: right ones, beyond the last line, of line 0, in the wrong order, twice on a line."""
+    given = F.expr("""explode(CASE doc_id % 5 WHEN 0 THEN array(struct(1L AS p, 4L AS l), struct(3L AS p, 9L AS l)) WHEN 1 THEN array(struct(1L AS p, 4L AS l), struct(5L AS p, 9L AS l)) WHEN 2 THEN array(struct(2L AS p, 0L AS l), struct(1L AS p, 9L AS l))
+      WHEN 3 THEN array(struct(3L AS p, 4L AS l), struct(1L AS p, 9L AS l)) ELSE array(struct(3L AS p, 4L AS l), struct(3L AS p, 9L AS l)) END)""")
+    docs_ = c.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    rows = docs_.select("doc_id", given.alias("x")).select("doc_id", F.when(F.col("x.l") == 9, 1).otherwise(0).alias("ord"), F.col("x.p").alias("physical_line"), F.col("x.l").alias("logical_line"))
+    return lines.directive_errors(rows, docs_.withColumn("line_count", F.lit(5).cast("long")))
+
+
 # Tokens.
 
 _ASSIGN_TOKENS = "[('IDENTIFIER', 'v' || c_custkey), ('WHITESPACE', ' '), ('LEFT_ASSIGN', '<-'), ('WHITESPACE', ' '), ('INTEGER', c_nationkey || 'L'), ('WHITESPACE', ' '), ('PLUS', '+'), ('WHITESPACE', ' '), ('DOUBLE', '1'), ('NEWLINE', chr(10))]"
@@ -176,17 +217,17 @@ _ASSIGN_ROWS = f"(SELECT doc_id, CAST(tok AS INT) AS tok, t[1] AS kind, t[2] AS
 
 @query(f"""SELECT doc_id, tok, kind, e - strlen(text) AS "start", e AS "end", text FROM {_ASSIGN_ROWS}""")
 def tokens_assignments(spark, sf_dir):
-    return tokens(c.assignments(spark, sf_dir)).select("doc_id", "tok", "kind", "start", "end", "text")
+    return table(c.assignments(spark, sf_dir), "tokens.tok,kind,start,end,text")
 
 
 @query(f"SELECT kind, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM {_ASSIGN_ROWS} GROUP BY kind")
 def token_histogram(spark, sf_dir):
-    return tokens(c.assignments(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    return table(c.assignments(spark, sf_dir), "tokens.kind,text").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS covered, true AS contiguous FROM documents WHERE strlen(text) > 0")
 def token_coverage(spark, sf_dir):
-    return checks.token_coverage(tokens(c.documents(spark, sf_dir)))
+    return checks.token_coverage(syntax(c.documents(spark, sf_dir), ["tokens.start,end"]))
 
 
 @query("""SELECT * FROM (VALUES (0, 'COMMENT', 'InitialShebang', NULL, NULL, NULL), (2, 'ROXYGEN_COMMENT', 'Roxygen', 'NonIndented', NULL, NULL), (5, 'ROXYGEN_COMMENT', 'Roxygen', 'Indented', NULL, NULL),
@@ -210,7 +251,7 @@ def lex_diagnostics(spark, sf_dir):
 
 @query(f"SELECT doc_id, text FROM {_text(c.CALLS, 'orders', 'o_orderkey')}")
 def token_round_trip(spark, sf_dir):
-    return syntax(c.calls(spark, sf_dir), ["tokens"]).select("doc_id", F.array_join(F.transform("tokens", lambda t: t["text"]), "").alias("text"))
+    return syntax(c.calls(spark, sf_dir), ["tokens.text"]).select("doc_id", F.array_join("tokens.text", "").alias("text"))
 
 
 # Parsing.
@@ -242,7 +283,7 @@ _ASSIGN_TREE = "[(0, 0, 'SOURCE_FILE', 0, n, 16), (1, 1, 'EXPRESSION_LIST', 0, n
 @query(f"""SELECT doc_id, CAST(t[1] AS INT) AS id, CAST(t[2] AS INT) AS depth, t[3] AS kind, CAST(t[4] AS BIGINT) AS "start", CAST(t[5] AS BIGINT) AS "end", CAST(t[6] AS INT) AS last_desc
   FROM (SELECT doc_id, unnest({_ASSIGN_TREE}) AS t FROM (SELECT doc_id, strlen(text) AS n, strlen(CAST(c_custkey AS VARCHAR)) + 1 AS k FROM {_text(c.ASSIGNMENTS, 'customer', 'c_custkey')}))""")
 def elements_assignments(spark, sf_dir):
-    return parsed_elements(c.assignments(spark, sf_dir)).where("NOT is_token").select("doc_id", "id", "depth", "kind", "start", "end", "last_desc")
+    return elements(c.assignments(spark, sf_dir)).where("NOT is_token").select("doc_id", "id", "depth", "kind", "start", "end", "last_desc")
 
 
 @query("""SELECT * FROM (VALUES ('a + b * c', '+', 'IDENTIFIER_EXPR', 'BINARY_EXPR'), ('a ^ b ^ c', '^', 'IDENTIFIER_EXPR', 'BINARY_EXPR'), ('a - b - c', '-', 'BINARY_EXPR', 'IDENTIFIER_EXPR'),
@@ -251,7 +292,7 @@ def elements_assignments(spark, sf_dir):
 def precedence_shapes(spark, sf_dir):
     texts = ["a + b * c", "a ^ b ^ c", "a - b - c", "-a ^ b", "a %in% b:c", "!a == b", "a || b && c", "a ** b"]
     s = c.literal(spark, list(enumerate(texts)), "doc_id long, text string")
-    found = tree.operands(elements(s))
+    found = tree.operands(trees(s))
     outer = found.groupBy("doc_id").agg(F.min("id").alias("id"))
     return found.join(outer, ["doc_id", "id"]).join(s, "doc_id").select("text", "operator", "left_kind", "right_kind")
 
@@ -266,48 +307,45 @@ def parse_diagnostics(spark, sf_dir):
     return diagnostics(c.functions(spark, sf_dir)).select("doc_id", "code", "start", "end", "message")
 
 
-@query("SELECT code, count(*) AS n FROM (SELECT unnest(['R-LEX-001', 'R-LEX-001', 'R-LEX-002']) AS code FROM supplier) GROUP BY code")
+@query("""SELECT code, count(*) AS n, bool_and(truncated) AS truncated FROM (SELECT unnest(['R-LEX-002', 'R-LEX-003', 'R-LEX-003']) AS code, true AS truncated FROM supplier) GROUP BY code""")
 def diagnostics_topk(spark, sf_dir):
-    """The diagnostics a cap of 3 keeps of the lexical ones, in their order of position, code and message."""
-    from pyspark.sql import Window
-
-    found = diagnostics(c.broken(spark, sf_dir)).where("code IN ('R-LEX-001', 'R-LEX-002')")
-    order = Window.partitionBy("doc_id").orderBy("start", "end", "code", "message")
-    return found.withColumn("nth", F.row_number().over(order)).where("nth <= 3").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    """The diagnostics that the parser's cap of 3 keeps, in their order of position, code and message."""
+    got = syntax(c.broken(spark, sf_dir), ["diagnostics.code", "diagnostics_truncated"], options=ParserOptions(max_diagnostics=3, lexer=LexerLimits(max_diagnostics=10)))
+    return got.select(F.explode("diagnostics.code").alias("code"), "diagnostics_truncated").groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.bool_and("diagnostics_truncated").alias("truncated"))
 
 
 @query("SELECT p_partkey AS doc_id, 2 AS position, 'x' AS name, false AS has_default, 'BINARY_EXPR' AS body_kind FROM part")
 def duplicate_formals(spark, sf_dir):
-    return tree.duplicate_formals(elements(c.functions(spark, sf_dir))).select("doc_id", "position", "name", "has_default", "body_kind")
+    return tree.duplicate_formals(trees(c.functions(spark, sf_dir))).select("doc_id", "position", "name", "has_default", "body_kind")
 
 
 @query("""SELECT p_partkey AS doc_id, CAST(t[1] AS INT) AS position, t[2] AS name, t[1] = '1' AS has_default FROM (SELECT p_partkey, unnest([['0', 'x'], ['1', 'y'], ['2', 'x'], ['3', '...']]) AS t FROM part)""")
 def function_params(spark, sf_dir):
-    return tree.function_params(elements(c.functions(spark, sf_dir))).select("doc_id", "position", "name", "has_default")
+    return tree.function_params(trees(c.functions(spark, sf_dir))).select("doc_id", "position", "name", "has_default")
 
 
 @query("""SELECT o_orderkey AS doc_id, 'f' || (o_custkey % 7) AS callee, 'IDENTIFIER_EXPR' AS callee_kind, CAST(3 AS BIGINT) AS n_args FROM orders UNION ALL SELECT o_orderkey, 'g', 'IDENTIFIER_EXPR', 1 FROM orders""")
 def calls(spark, sf_dir):
-    return tree.calls(elements(c.calls(spark, sf_dir))).select("doc_id", "callee", "callee_kind", "n_args")
+    return tree.calls(trees(c.calls(spark, sf_dir))).select("doc_id", "callee", "callee_kind", "n_args")
 
 
 @query("""SELECT o_orderkey AS doc_id, CAST(t[1] AS INT) AS position, nullif(t[2], '') AS tag, t[3] AS value_kind FROM (SELECT o_orderkey, unnest([['0', '', 'LITERAL_EXPR'], ['1', 'x', 'LITERAL_EXPR'], ['2', '', 'CALL_EXPR'], ['0', '', 'LITERAL_EXPR']]) AS t FROM orders)""")
 def call_arguments(spark, sf_dir):
-    return tree.call_arguments(elements(c.calls(spark, sf_dir))).select("doc_id", "position", "tag", "value_kind")
+    return tree.call_arguments(trees(c.calls(spark, sf_dir))).select("doc_id", "position", "tag", "value_kind")
 
 
 @query("SELECT c_custkey AS doc_id, '<-' AS operator, 'IDENTIFIER_EXPR' AS left_kind, 'BINARY_EXPR' AS right_kind FROM customer")
 def assignments(spark, sf_dir):
-    return tree.operands(elements(c.assignments(spark, sf_dir)), "ASSIGNMENT_EXPR").select("doc_id", "operator", "left_kind", "right_kind")
+    return tree.operands(trees(c.assignments(spark, sf_dir)), "ASSIGNMENT_EXPR").select("doc_id", "operator", "left_kind", "right_kind")
 
 
-@query("""SELECT n_nationkey AS doc_id, '|>' AS operator, 'PIPE_EXPR' AS left_kind, 'IDENTIFIER_EXPR' AS right_kind FROM nation UNION ALL SELECT n_nationkey, '|>', 'IDENTIFIER_EXPR', 'CALL_EXPR' FROM nation""")
+@query("""SELECT c_custkey AS doc_id, '|>' AS operator, 'PIPE_EXPR' AS left_kind, 'IDENTIFIER_EXPR' AS right_kind FROM customer UNION ALL SELECT c_custkey, '|>', 'IDENTIFIER_EXPR', 'CALL_EXPR' FROM customer""")
 def pipes(spark, sf_dir):
-    found = tree.operands(elements(c.pipes(spark, sf_dir)), "PIPE_EXPR")
+    found = tree.operands(trees(c.pipes(spark, sf_dir)), "PIPE_EXPR")
     return found.select("doc_id", "operator", "left_kind", "right_kind")
 
 
-@query("SELECT n_nationkey AS doc_id, 'R-PARSE-006' AS code, 'native pipe RHS must be a call or placeholder extraction chain' AS message FROM nation")
+@query("SELECT c_custkey AS doc_id, 'R-PARSE-006' AS code, 'native pipe RHS must be a call or placeholder extraction chain' AS message FROM customer")
 def pipe_diagnostics(spark, sf_dir):
     return diagnostics(c.pipes(spark, sf_dir)).where("code LIKE 'R-PARSE-00%'").select("doc_id", "code", "message")
 
@@ -315,7 +353,7 @@ def pipe_diagnostics(spark, sf_dir):
 @query("""SELECT * FROM (VALUES (1, 'BRACED_EXPR', true), (2, 'IDENTIFIER_EXPR', false)) AS t(doc_id, then_kind, has_else)""")
 def conditional_branches(spark, sf_dir):
     s = c.literal(spark, [(1, "if (a) { b }\nelse c"), (2, "if (a) b")], "doc_id long, text string")
-    return tree.branches(elements(s)).select("doc_id", "then_kind", "has_else")
+    return tree.branches(trees(s)).select("doc_id", "then_kind", "has_else")
 
 
 @query("""SELECT * FROM (VALUES ('x => y', 'R-PARSE-008', 1), ('x => y()', 'R-PARSE-008', 1)) AS t(text, code, n)""")
@@ -328,36 +366,42 @@ def pipe_bind_disabled(spark, sf_dir):
 
 @query("""SELECT c_custkey AS doc_id, count(*) AS expressions, 'ASSIGNMENT_EXPR' AS kind FROM customer GROUP BY c_custkey""")
 def top_expressions(spark, sf_dir):
-    return tree.top_expressions(elements(c.assignments(spark, sf_dir))).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("expressions"))
+    return tree.top_expressions(trees(c.assignments(spark, sf_dir))).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("expressions"))
 
 
-@query("SELECT n_nationkey AS doc_id, 'ok' AS outcome, CAST(43 AS BIGINT) AS n FROM nation UNION ALL SELECT n_nationkey + 1000, 'WrongDocument', 43 FROM nation UNION ALL SELECT n_nationkey, 'MissingElement', 1 FROM nation UNION ALL SELECT n_nationkey, 'StaleElement', 1 FROM nation")
+@query("""SELECT c_custkey AS doc_id, 'ok' AS outcome, CAST(43 AS BIGINT) AS n FROM customer UNION ALL SELECT -1 - c_custkey, 'WrongDocument', 43 FROM customer
+  UNION ALL SELECT c_custkey, 'MissingElement', 7 FROM customer UNION ALL SELECT c_custkey, 'StaleElement', 43 FROM customer""")
 def locations_resolve(spark, sf_dir):
-    e = elements(c.pipes(spark, sf_dir))
-    own = tree.locations(e)
-    far = own.where("size(path) = 0")
-    moved = far.withColumn("path", F.array(F.lit(99)))
-    stale = far.withColumn("end", F.col("end") + 1)
-    other = own.withColumn("doc_id", F.col("doc_id") + 1000)
-    got = tree.resolve(own.unionByName(moved).unionByName(stale).unionByName(other), e)
+    """Every location as it is; in another document; of names, one step further down; and with another end."""
+    s = c.pipes(spark, sf_dir)
+    own = tree.locations(table(s, tree.LOCATED))
+    moved = own.where("kind = 'IDENTIFIER_EXPR' OR kind = 'LITERAL_EXPR'").withColumn("path", F.concat("path", F.array(F.lit(99))))
+    stale = own.withColumn("end", F.col("end") + 1)
+    other = own.withColumn("doc_id", -1 - F.col("doc_id"))
+    got = tree.resolve(own.unionByName(moved).unionByName(stale).unionByName(other), table(s, tree.RESOLVED))
     return got.groupBy("doc_id", F.coalesce("error", F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, CAST(0 AS BIGINT) AS violations FROM documents")
 def snapshot_validate(spark, sf_dir):
-    parsed = syntax(c.documents(spark, sf_dir), ["elements", "diagnostics"], keep=["text"])
+    parsed = syntax(c.documents(spark, sf_dir), tree.CHECKED, keep=["text"])
     return tree.violations(parsed).select("doc_id", F.size("violations").cast("long").alias("violations"))
 
 
-@query()
+#: Entering (1) and leaving (2) the elements of the made assignments, with kinds; tokens by their place.
+_ASSIGN_EVENTS = """1,256 1,259 1,266 1,260 1,20:1 2,20:1 2,260 1,10:2 2,10:2 1,110:3 2,110:3 1,10:4 2,10:4 1,265 1,261 1,23:5 2,23:5 2,261 1,10:6 2,10:6 1,90:7 2,90:7 1,10:8 2,10:8 1,261 1,24:9 2,24:9 2,261 2,265 2,266 1,11:10 2,11:10 2,259 2,256""".split()
+_ASSIGN_FED = " || ".join(f"[{m[0]}, {int(k) % 256}, {int(k) // 256}]" + (f" || list_transform(string_split(({_ASSIGN_TOKENS})[{t}][2], ''), lambda x: ord(x))" if t else "") for m, _, x in (e.partition(",") for e in _ASSIGN_EVENTS) for k, _, t in [x.partition(":")])
+
+
+@query(f"""SELECT c_custkey AS doc_id, lpad(lower(hex(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform({_ASSIGN_FED}, lambda x: CAST(x AS HUGEINT))), lambda h, b: xor(h, b) * CAST(1099511628211 AS HUGEINT) % CAST(18446744073709551616 AS HUGEINT)))), 16, '0') AS tree64 FROM customer""")
 def tree_fingerprint64(spark, sf_dir):
     return syntax(c.assignments(spark, sf_dir), ["tree64"])
 
 
-@query("""SELECT n_nationkey AS doc_id, CAST(6 AS BIGINT) AS names FROM nation""")
+@query("""SELECT c_custkey AS doc_id, CAST(6 AS BIGINT) AS names FROM customer""")
 def descendants(spark, sf_dir):
     """Names anywhere below the root: a range on preorder ids."""
-    e = elements(c.pipes(spark, sf_dir))
+    e = table(c.pipes(spark, sf_dir), "elements.id,kind,last_desc")
     return tree.descendants(e, e.where("id = 0")).where("kind = 'IDENTIFIER'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("names"))
 
 
@@ -367,6 +411,144 @@ def needs_more_input(spark, sf_dir):
     return syntax(s, ["needs_more_input"], entry="interactive", keep=["text"]).select("text", "needs_more_input")
 
 
+# Forms, limits and metadata, over tables.
+
+
+@query("""SELECT c_custkey AS doc_id, unnest(['FOR_EXPR', 'WHILE_EXPR', 'REPEAT_EXPR']) AS kind, unnest(['i', NULL, NULL]) AS variable, unnest(CAST([1, 1, 0] AS BIGINT[])) AS jumps, unnest(['BRACED_EXPR', 'BREAK_EXPR', 'BRACED_EXPR']) AS body_kind FROM customer""")
+def loops(spark, sf_dir):
+    return tree.loops(trees(c.control(spark, sf_dir))).select("doc_id", "kind", "variable", "jumps", "body_kind")
+
+
+@query("""SELECT c_custkey AS doc_id, 'R-PARSE-009' AS code, CAST(58 + 2 * k AS BIGINT) AS "start", CAST(63 + 2 * k AS BIGINT) AS "end", '''break'' and ''next'' require an enclosing loop' AS message FROM (SELECT c_custkey, strlen(CAST(c_custkey AS VARCHAR)) AS k FROM customer)""")
+def jumps(spark, sf_dir):
+    """A jump outside of loops."""
+    return diagnostics(c.control(spark, sf_dir)).select("doc_id", "code", "start", "end", "message")
+
+
+@query("SELECT c_custkey AS doc_id, 'BRACED_EXPR' AS then_kind, true AS has_else FROM customer")
+def branches(spark, sf_dir):
+    return tree.branches(trees(c.control(spark, sf_dir))).select("doc_id", "then_kind", "has_else")
+
+
+@query("""SELECT p_partkey AS doc_id, 'SUBSET_EXPR' AS node, unnest([0, 1, 2]) AS position, unnest([NULL, NULL, 'drop']) AS tag, unnest(['LITERAL_EXPR', 'MISSING', 'LITERAL_EXPR']) AS value_kind FROM part
+  UNION ALL SELECT p_partkey, 'SUBSET2_EXPR', 0, NULL, 'LITERAL_EXPR' FROM part UNION ALL SELECT p_partkey, 'SUBSET2_EXPR', 0, NULL, 'LITERAL_EXPR' FROM part""")
+def index_arguments(spark, sf_dir):
+    """Arguments of ``[`` and ``[[``; those that ``[[`` may not have are errors and not listed."""
+    t = trees(c.indices(spark, sf_dir))
+    one, two = (tree.indices(t, node).select("doc_id", F.lit(node).alias("node"), "position", "tag", "value_kind") for node in ("SUBSET_EXPR", "SUBSET2_EXPR"))
+    return one.unionByName(two)
+
+
+@query("""SELECT p_partkey AS doc_id, 'R-PARSE-005' AS code, CAST(e AS BIGINT) AS "start" FROM (SELECT p_partkey, unnest([36 + k + s, 42 + k + s]) AS e FROM (SELECT p_partkey, strlen(CAST(p_partkey AS VARCHAR)) AS k, strlen(CAST(p_size AS VARCHAR)) AS s FROM part))""")
+def index_diagnostics(spark, sf_dir):
+    return diagnostics(c.indices(spark, sf_dir)).where("code = 'R-PARSE-005'").select("doc_id", "code", "start")
+
+
+@query("""SELECT s_suppkey AS doc_id, t[1] AS node, t[2] AS operator, t[3] AS left_kind, t[4] AS name FROM (SELECT s_suppkey, unnest([['NAMESPACE_EXPR', '::', 'IDENTIFIER_EXPR', 'f'], ['NAMESPACE_EXPR', ':::', 'LITERAL_EXPR', 'g'], ['NAMESPACE_EXPR', '::', 'CALL_EXPR', 'h'],
+  ['MEMBER_EXPR', '$', 'IDENTIFIER_EXPR', 'b' || s_suppkey], ['MEMBER_EXPR', '@', 'MEMBER_EXPR', 'c'], ['MEMBER_EXPR', '$', 'IDENTIFIER_EXPR', NULL]]) AS t FROM supplier)""")
+def selections(spark, sf_dir):
+    t = trees(c.names(spark, sf_dir))
+    one, two = (tree.selections(t, node).select("doc_id", F.lit(node).alias("node"), "operator", "left_kind", "name") for node in ("NAMESPACE_EXPR", "MEMBER_EXPR"))
+    return one.unionByName(two)
+
+
+@query("""SELECT s_suppkey AS doc_id, unnest(['R-PARSE-005', 'R-PARSE-001', 'R-PARSE-005']) AS code, unnest(['namespace LHS must be a package name or string', 'invalid extraction operand', 'extraction and namespace RHS must be a name or string']) AS message FROM supplier""")
+def selection_diagnostics(spark, sf_dir):
+    return diagnostics(c.names(spark, sf_dir)).select("doc_id", "code", "message")
+
+
+@query("""SELECT c_custkey AS doc_id, t[1] AS kind, t[2] AS text, t[3] AS line_ending FROM (SELECT c_custkey, unnest([['DOT_DOT_I', '..1', NULL], ['ELLIPSIS', '...', NULL], ['IDENTIFIER', '..' || c_custkey || 'a', NULL], ['NEWLINE', chr(13) || chr(10), 'CrLf'],
+  ['STRING', '"l' || chr(10) || 'm"', NULL], ['DOUBLE', CAST(c_nationkey AS VARCHAR), NULL], ['NEWLINE', chr(13), 'Cr'], ['IDENTIFIER', 'y', NULL], ['NEWLINE', chr(10), 'Lf']]) AS t FROM customer)""")
+def token_metadata(spark, sf_dir):
+    """Line endings, ``...`` and ``..N``, and a line ending inside a literal."""
+    return table(c.trivia(spark, sf_dir), "tokens.kind,text,line_ending").where("kind <> 'WHITESPACE'")
+
+
+@query("""SELECT c_custkey AS doc_id, unnest(CAST([2, 5] AS BIGINT[])) AS dir_physical, unnest([c_custkey + 1, 9]) AS dir_logical FROM customer""")
+def newlines_in_literals(spark, sf_dir):
+    """Line endings inside strings and raw strings count for the directives that follow."""
+    text = F.expr("concat('x <- \"a', chr(10), 'b\"', chr(13), '#line ', c_custkey + 1, chr(10), 'r\"(', chr(13), chr(10), ')\"; # c', chr(10), '#line 9', chr(10))")
+    s = c.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    return table(s, "tokens.dir_physical,dir_logical").where("dir_logical IS NOT NULL")
+
+
+@query("""SELECT c_custkey AS doc_id, t[1] AS "limit", CAST(t[2] AS BIGINT) AS tokens, t[3] AS code, t[4] = '1' AS tokens_truncated FROM (SELECT c_custkey, unnest([['tokens', '4', 'R-LEX-006', '1'], ['input', '1', 'R-LEX-005', '1'], ['diagnostics', '10', NULL, '0']]) AS t FROM customer)""")
+def lexer_limits(spark, sf_dir):
+    """What each limit of the scanner leaves: tokens with the remainder as the last, or no diagnostic kept."""
+    s = c.assignments(spark, sf_dir)
+    parts = []
+    for name, limits in (("tokens", LexerLimits(max_tokens=4)), ("input", LexerLimits(max_input_bytes=5)), ("diagnostics", LexerLimits(max_diagnostics=0))):
+        got = syntax(s, ["tokens.kind", "lex_diagnostics.code", "lex_flags"], options=ParserOptions(lexer=limits))
+        parts.append(got.select("doc_id", F.lit(name).alias("limit"), F.size("tokens").cast("long").alias("tokens"), F.get("lex_diagnostics.code", F.lit(0)).alias("code"), "lex_flags.tokens_truncated"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""SELECT s_suppkey AS doc_id, true AS had_errors, true AS diagnostics_truncated, CAST(0 AS BIGINT) AS kept, 'Invalid' AS status FROM supplier""")
+def diagnostic_cap(spark, sf_dir):
+    """Without room for any diagnostic, errors are still told by flags and status."""
+    none = ParserOptions(max_diagnostics=0, lexer=LexerLimits(max_diagnostics=0))
+    got = syntax(c.broken(spark, sf_dir), ["lex_flags", "diagnostics.code", "status"], options=none)
+    return got.select("doc_id", "lex_flags.had_errors", "lex_flags.diagnostics_truncated", F.size("diagnostics").cast("long").alias("kept"), "status")
+
+
+@query("""SELECT o_orderkey AS doc_id, t[1] AS "limit", t[2] AS message, t[3] AS nodes FROM (SELECT o_orderkey, unnest([['depth', 'parser nesting limit exceeded', NULL], ['events', 'parser event limit exceeded', 'SOURCE_FILE ERROR'], ['recovery', 'parser recovery token limit exceeded', NULL]]) AS t FROM orders)""")
+def parser_limits(spark, sf_dir):
+    """Each limit of the parser is reported once; beyond the events' the tree is one error."""
+    s = c.calls(spark, sf_dir)
+    parts = []
+    for name, options, entry in (("depth", ParserOptions(max_depth=1), "source"), ("events", ParserOptions(max_events=5), "source"), ("recovery", ParserOptions(max_recovery_tokens=1), "formal")):
+        got = syntax(s, ["diagnostics.code,message", "resource_limited", "elements.kind,is_token"], options=options, entry=entry)
+        nodes = F.array_join(F.transform(F.filter("elements", lambda e: ~e["is_token"]), lambda e: e["kind"]), " ")
+        limit = F.filter("diagnostics", lambda d: d["code"] == "R-PARSE-007")
+        found = got.where((F.size(limit) == 1) & F.col("resource_limited"))
+        parts.append(found.select("doc_id", F.lit(name).alias("limit"), F.get(limit, F.lit(0))["message"].alias("message"), F.when(F.lit(name == "events"), nodes).alias("nodes")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""SELECT o_orderkey AS doc_id, s AS status, s AS completeness, s = 'Incomplete' AS needs_more_input FROM (SELECT o_orderkey, ['Complete', 'Incomplete', 'Invalid'][o_orderkey % 3 + 1] AS s FROM orders)""")
+def status_table(spark, sf_dir):
+    """Calls as they are, cut before their last bracket, and with a bracket too many."""
+    cut = F.expr("CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN left(text, length(text) - 2) ELSE concat(text, ')') END")
+    return syntax(c.calls(spark, sf_dir).withColumn("text", cut), ["status", "completeness", "needs_more_input"])
+
+
+@query("""SELECT c_custkey AS doc_id, unnest(['source', 'interactive', 'expression', 'parenthesized', 'argument', 'formal']) AS entry, unnest(['Invalid', 'Invalid', 'Complete', 'Complete', 'Complete', 'Invalid']) AS status,
+  unnest(['SOURCE_FILE EXPRESSION_LIST PAREN_EXPR BINARY_EXPR IDENTIFIER_EXPR LITERAL_EXPR ERROR', 'SOURCE_FILE EXPRESSION_LIST PAREN_EXPR BINARY_EXPR IDENTIFIER_EXPR LITERAL_EXPR ERROR', 'SOURCE_FILE PAREN_EXPR BINARY_EXPR IDENTIFIER_EXPR LITERAL_EXPR',
+    'SOURCE_FILE PAREN_EXPR BINARY_EXPR IDENTIFIER_EXPR LITERAL_EXPR', 'SOURCE_FILE ARGUMENT_LIST ARGUMENT PAREN_EXPR BINARY_EXPR IDENTIFIER_EXPR LITERAL_EXPR', 'SOURCE_FILE PARAMETER_LIST PARAMETER MISSING ERROR ERROR ERROR ERROR ERROR']) AS nodes FROM customer""")
+def entries(spark, sf_dir):
+    """One text by every entry; the first two get it with a bracket too many."""
+    out = None
+    for entry in ("source", "interactive", "expression", "parenthesized", "argument", "formal"):
+        text = F.concat(F.lit("(a +"), "c_custkey", F.lit("))" if entry in ("source", "interactive") else ")"))
+        s = c.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+        got = syntax(s, ["status", "elements.kind,is_token"], entry=entry)
+        nodes = F.array_join(F.transform(F.filter("elements", lambda e: ~e["is_token"]), lambda e: e["kind"]), " ")
+        part = got.select("doc_id", F.lit(entry).alias("entry"), "status", nodes.alias("nodes"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(4 AS BIGINT) AS arguments, CAST(2 AS BIGINT) AS calls FROM orders")
+def sql_nodes(spark, sf_dir):
+    register(spark)
+    c.calls(spark, sf_dir).createOrReplaceTempView("quillspark_calls")
+    return spark.sql("SELECT doc_id, count_if(kind = 'ARGUMENT') AS arguments, count_if(kind = 'CALL_EXPR') AS calls FROM quillspark_calls, LATERAL r_nodes(text) GROUP BY doc_id")
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT unnest(['IDENTIFIER', 'WHITESPACE', 'LEFT_ASSIGN', 'WHITESPACE', 'INTEGER', 'WHITESPACE', 'PLUS', 'WHITESPACE', 'DOUBLE', 'NEWLINE']) AS kind FROM customer) GROUP BY kind")
+def sql_tokens(spark, sf_dir):
+    register(spark)
+    c.assignments(spark, sf_dir).createOrReplaceTempView("quillspark_assignments")
+    return spark.sql("SELECT kind, count(*) AS n FROM quillspark_assignments, LATERAL r_tokens(text) GROUP BY kind")
+
+
+@query("SELECT code, count(*) AS n FROM (SELECT unnest(['R-LEX-002', 'R-LEX-003', 'R-LEX-003', 'R-LEX-003', 'R-LEX-004', 'R-LEX-001', 'R-LEX-001']) AS code FROM supplier) GROUP BY code")
+def sql_diagnostics(spark, sf_dir):
+    register(spark)
+    c.broken(spark, sf_dir).createOrReplaceTempView("quillspark_broken")
+    return spark.sql("SELECT code, count(*) AS n FROM quillspark_broken, LATERAL r_diagnostics(text) WHERE code LIKE 'R-LEX%' GROUP BY code")
+
+
 # Documentation.
 
 _PART = "(SELECT p_partkey AS doc_id, p_name, strlen(p_name) AS a, strlen(CAST(p_size AS VARCHAR)) AS s, strlen(CAST(p_partkey AS VARCHAR)) AS k, p_size FROM part)"
@@ -375,7 +557,7 @@ _ROX_END = "9 + a + 1 + 19 + s + 1 + 12 + 1 + 6 + k"
 
 @query(f"""SELECT doc_id, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS h_start, CAST({_ROX_END} AS BIGINT) AS h_end, CAST(4 AS BIGINT) AS line_count FROM {_PART}""")
 def rox_blocks(spark, sf_dir):
-    return docs.runs(tokens(c.functions(spark, sf_dir)))
+    return docs.runs(syntax(c.functions(spark, sf_dir), docs.FIELDS))
 
 
 @query("SELECT p_partkey AS doc_id, '#'' Title ' || p_name || chr(10) || '#'' @param x,y size ' || p_size || chr(10) || '#'' @examples' || chr(10) || '#'' f(' || p_partkey || ')' AS projected FROM part")
@@ -390,16 +572,13 @@ def rox_tags(spark, sf_dir):
 
 @query("SELECT p_partkey AS doc_id, unnest(['x', 'y']) AS name FROM part")
 def rox_params(spark, sf_dir):
-    both = once(syntax(c.functions(spark, sf_dir), ["rox_elements", "rox_tokens"]))
-    return docs.params(both.select("doc_id", F.inline("rox_elements")), both.select("doc_id", F.inline("rox_tokens"))).select("doc_id", "name")
+    s = c.functions(spark, sf_dir)
+    return docs.params(table(s, "rox_elements"), table(s, "rox_tokens")).select("doc_id", "name")
 
 
 @query(f"""SELECT doc_id, CAST(0 AS BIGINT) AS block, 'Normal' AS state, CAST({_ROX_END} + 1 AS BIGINT) AS expr_start, CAST({_ROX_END} AS BIGINT) AS gap_start, CAST({_ROX_END} + 1 AS BIGINT) AS gap_end FROM {_PART}""")
 def rox_association(spark, sf_dir):
-    s = c.functions(spark, sf_dir)
-    both = once(syntax(s, ["tokens", "elements"]))
-    blocks = docs.runs(both.select("doc_id", F.inline("tokens")))
-    return docs.associate(blocks, both.select("doc_id", F.inline("elements")), s).select("doc_id", "block", "state", "expr_start", "gap_start", "gap_end")
+    return docs.associate(syntax(c.functions(spark, sf_dir), docs.WITH_TREE)).select("doc_id", "block", "state", "expr_start", "gap_start", "gap_end")
 
 
 @query("SELECT * FROM (VALUES (0, 'Normal'), (1, 'TerminatedByNull'), (2, 'Ambiguous'), (3, 'Normal'), (4, 'Detached')) AS t(block, state)")
@@ -415,10 +594,9 @@ def rox_embedded(spark, sf_dir):
 
 @query(f"""SELECT doc_id, CAST({_ROX_END} - 1 AS BIGINT) AS point, CAST({_ROX_END} - 1 AS BIGINT) AS mapped FROM {_PART}""")
 def rox_point_map(spark, sf_dir):
-    t = once(table(c.functions(spark, sf_dir), "rox_tokens"))
+    t = table(c.functions(spark, sf_dir), "rox_tokens")
     points = t.groupBy("doc_id").agg((F.max("h_end") - 1).alias("point"))
-    spans = t.select("doc_id", F.col("h_start").alias("from_start"), F.col("h_end").alias("from_end"), F.col("p_start").alias("to_start"), F.col("p_end").alias("to_end"))
-    return docs.map_points(spans, points)
+    return docs.map_points(docs.spans_of(t, "projected"), points)
 
 
 @query("""SELECT body_mode, n FROM (VALUES ('Parameter', 1), ('Section', 2), ('Code', 4), ('Generic', 49)) AS t(body_mode, n)""")
@@ -427,6 +605,51 @@ def tag_registry_extend(spark, sf_dir):
     return docs.extend_registry(docs.registry(spark), more).groupBy("body_mode").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT p_partkey AS doc_id, t[1] AS code, t[2] AS message FROM (SELECT p_partkey, unnest([['R-ROXYGEN-003', 'unterminated inline code span'], ['R-ROXYGEN-002', 'expected a parameter name'], ['R-ROXYGEN-001', 'expected whitespace after parameter names'],
+  ['R-ROXYGEN-001', 'unexpected or malformed roxygen token'], ['R-ROXYGEN-002', 'expected '']'' to close link'], ['R-ROXYGEN-002', 'expected '':'' after section title']]) AS t FROM part)""")
+def rox_diagnostics(spark, sf_dir):
+    return table(c.markup(spark, sf_dir), "rox_diagnostics").select("doc_id", "code", "message")
+
+
+@query("""SELECT p_partkey AS doc_id, false AS limited, false AS valid, 'OPAQUE_BODY' AS unknown_body, '@foo ' || p_size AS line FROM part""")
+def rox_unknown_tag(spark, sf_dir):
+    """The body of a tag that the registry does not have, and the status of a sidecar with errors."""
+    got = syntax(c.markup(spark, sf_dir), ["rox_status", "rox_elements.kind", "projected"])
+    kind = F.filter("rox_elements.kind", lambda k: k.endswith("_BODY") & ~k.isin("TAG_BODY", "PARAM_BODY", "SECTION_BODY"))
+    return got.select("doc_id", "rox_status.limited", "rox_status.valid", F.get(kind, F.lit(0)).alias("unknown_body"), F.regexp_extract("projected", "@foo [0-9]+", 0).alias("line"))
+
+
+@query("""SELECT p_partkey AS doc_id, t[1] AS "limit", t[2] = '1' AS limited, CAST(t[3] AS BIGINT) AS blocks, CAST(t[4] AS BIGINT) AS diagnostics, t[5] = '1' AS diagnostics_truncated FROM (SELECT p_partkey, unnest([['lines', '1', '1', '2', '1'], ['tokens', '1', '1', '2', '1'], ['diagnostics', '0', '1', '2', '1'], ['none', '0', '1', '6', '0']]) AS t FROM part)""")
+def rox_limits(spark, sf_dir):
+    s = c.markup(spark, sf_dir)
+    out = None
+    for name, options in (("lines", SidecarOptions(max_lines=1, max_diagnostics=2)), ("tokens", SidecarOptions(max_tokens=3, max_diagnostics=2)), ("diagnostics", SidecarOptions(max_diagnostics=2)), ("none", SidecarOptions())):
+        got = syntax(s, ["rox_status", "rox_blocks.block", "rox_diagnostics.code"], side=options)
+        part = got.select("doc_id", F.lit(name).alias("limit"), "rox_status.limited", F.size("rox_blocks").cast("long").alias("blocks"), F.size("rox_diagnostics").cast("long").alias("diagnostics"), "rox_status.diagnostics_truncated")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""SELECT doc_id, "start", "end", CASE WHEN "end" <= {_ROX_END} THEN "start" END AS mapped_start, CASE WHEN "end" <= {_ROX_END} THEN "end" END AS mapped_end FROM (SELECT *, unnest(CAST([3, 9 + a, {_ROX_END} - 1, 0] AS BIGINT[])) AS "start", unnest(CAST([5, 13 + a, {_ROX_END}, {_ROX_END} + 9] AS BIGINT[])) AS "end" FROM {_PART})""")
+def rox_range_map(spark, sf_dir):
+    """Ranges of the projection in the host: without blanks before the comments both agree; beyond the block there is none."""
+    t = table(c.functions(spark, sf_dir), "rox_tokens")
+    last = t.groupBy("doc_id").agg(F.max("p_end").alias("z"), F.max(F.when(F.col("tok") == 5, F.col("p_end"))).alias("title"))
+    n = c.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.octet_length("p_name").cast("long").alias("a"))
+    ranges = last.join(n, "doc_id").select("doc_id", F.inline(F.expr("array(struct(3L AS start, 5L AS end), struct(9 + a AS start, 13 + a AS end), struct(z - 1 AS start, z AS end), struct(0L AS start, z + 9 AS end))")))
+    return docs.map_ranges(docs.spans_of(t), ranges)
+
+
+@query(f"""SELECT doc_id, CAST(0 AS INT) AS block, "start", "end", CASE WHEN "end" < 99 THEN "start" + {_ROX_END} - 5 - k END AS mapped_start, CASE WHEN "end" < 99 THEN "end" + {_ROX_END} - 5 - k END AS mapped_end FROM (SELECT *, unnest(CAST([1, 2, 2] AS BIGINT[])) AS "start", unnest(CAST([5 + k, 4, 99] AS BIGINT[])) AS "end" FROM {_PART})""")
+def rox_embedded_map(spark, sf_dir):
+    """Ranges of example code in the host; code is a line break, then the line after its ``#'``."""
+    s = c.functions(spark, sf_dir)
+    mappings = table(s, "rox_mappings", side=SidecarOptions(parse_examples=True))
+    size = F.octet_length(F.col("doc_id").cast("string")).cast("long")
+    ranges = s.select("doc_id", F.lit(0).alias("block"), size.alias("k")).select("doc_id", "block", F.inline(F.expr("array(struct(1L AS start, 5 + k AS end), struct(2L AS start, 4L AS end), struct(2L AS start, 99L AS end))")))
+    return docs.embedded_to_host(mappings, ranges)
+
+
 # Conformance.
 
 _GOLDEN = ", ".join("('" + "', '".join([name, *row]) + "')" for name, row in c.EXPECTED.items())
@@ -462,7 +685,7 @@ def prop_lossless(spark, sf_dir):
     return checks.lossless(c.documents(spark, sf_dir))
 
 
-@query("SELECT n_nationkey AS doc_id, CAST(28 AS BIGINT) AS prefixes, true AS all_lossless FROM nation")
+@query("SELECT c_custkey AS doc_id, CAST(28 AS BIGINT) AS prefixes, true AS all_lossless FROM customer")
 def prop_prefixes(spark, sf_dir):
     return checks.prefix_property(c.pipes(spark, sf_dir))
 
@@ -472,15 +695,78 @@ def prop_determinism(spark, sf_dir):
     return checks.determinism(c.assignments(spark, sf_dir))
 
 
+@query("""SELECT CAST(count(*) AS BIGINT) AS n, [NULL, 'MultipleRoots:2', 'TokenOutsideRoot:0', 'UnclosedNodes:1', NULL][k + 1] AS error FROM (SELECT c_custkey % 5 AS k, CASE WHEN c_custkey % 5 = 4 THEN c_nationkey END AS v FROM customer) GROUP BY k, v""")
+def event_digests(spark, sf_dir):
+    """Documents by the digest of their tree events: equal streams have one digest, others their own, wrong ones an error."""
+    k = c.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 5).alias("k"), F.col("c_nationkey").cast("string").alias("v"))
+    what = F.expr("CASE k WHEN 1 THEN array('start', 'finish', 'start') WHEN 2 THEN array('token') WHEN 3 THEN array('start', 'token') ELSE array('start', 'token', 'finish') END")
+    events = k.select("doc_id", "k", "v", F.posexplode(what).alias("ord", "what")).select("doc_id", "ord", "what", F.lit("LITERAL_EXPR").alias("kind"), F.when(F.col("k") == 4, F.col("v")).otherwise("x").alias("text"))
+    # Streams with one error are one group, as those with one digest are.
+    return checks.event_digests(events).groupBy("digest", "error").agg(F.count(F.lit(1)).alias("n")).select("n", "error")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(2 AS BIGINT) AS each_ones FROM orders GROUP BY o_orderkey % 3")
+def diagnostic_digests(spark, sf_dir):
+    """Documents by the digest of all their diagnostics, given in any order, and how many digests these have one by one."""
+    order = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2), F.lit(1)))
+    base = c.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    ds = base.select("doc_id", F.explode(order.cast("array<bigint>")).alias("start")).select("doc_id", F.lit("Error").alias("severity"), "start", (F.col("start") + F.col("doc_id") % 3).alias("end"), F.lit("C").alias("code"), F.lit("m").alias("message"), F.array().cast("array<string>").alias("notes"))
+    sets = checks.diagnostic_set_digests(ds).select("doc_id", F.col("digest").alias("of_set"))
+    ones = checks.diagnostic_digests(ds).groupBy("doc_id").agg(F.countDistinct("digest").alias("each_ones"))
+    return sets.join(ones, "doc_id").groupBy("of_set").agg(F.count(F.lit(1)).alias("n"), F.max("each_ones").alias("each_ones")).select("n", "each_ones")
+
+
+@query("SELECT CAST(count(DISTINCT (o_custkey % 7, o_orderkey, o_orderstatus, o_custkey)) AS BIGINT) AS trees, CAST(1 AS BIGINT) AS diagnostics FROM orders")
+def tree_digests(spark, sf_dir):
+    """Digests of trees and of diagnostics: as many trees as there are texts, and all without a diagnostic."""
+    got = syntax(c.calls(spark, sf_dir), ["tree_digest", "diagnostics_digest"])
+    return got.agg(F.countDistinct("tree_digest").alias("trees"), F.countDistinct("diagnostics_digest").alias("diagnostics"))
+
+
+@query("SELECT c_custkey AS doc_id, true AS same_tree, true AS other_snapshot FROM customer")
+def profile_digests(spark, sf_dir):
+    """Another version of the language is another snapshot of the same tree."""
+    s = c.assignments(spark, sf_dir)
+    now, then = (syntax(s, ["tree_digest", "snapshot_digest"], options=o) for o in (ParserOptions(), ParserOptions(r_version=(4, 5, 0))))
+    then = then.toDF("doc_id", "t", "s")
+    return now.join(then, "doc_id").select("doc_id", (F.col("tree_digest") == F.col("t")).alias("same_tree"), (F.col("snapshot_digest") != F.col("s")).alias("other_snapshot"))
+
+
+@query("SELECT c_custkey AS doc_id, [NULL, 'SourceMismatch', 'InvalidRoot', 'NodeKindUsedAsToken', 'TokenKindUsedAsNode'][c_custkey % 5 + 1] AS violation FROM customer")
+def snapshot_violations(spark, sf_dir):
+    """Snapshots damaged in one way each, by the number of their document."""
+    parsed = syntax(c.assignments(spark, sf_dir), tree.CHECKED, keep=["text"])
+    k = F.col("doc_id") % 5
+    kind = lambda e: F.when((k == 2) & (e["kind_id"] == 256), 257).when((k == 3) & (e["kind_id"] == 13 + 10), 300).when((k == 4) & (e["kind_id"] == 261) & ~e["is_token"], 26).otherwise(e["kind_id"])
+    damaged = parsed.withColumn("text", F.when(k == 1, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    damaged = damaged.withColumn("elements", F.transform("elements", lambda e: F.struct(e["is_token"].alias("is_token"), kind(e).alias("kind_id"), e["text"].alias("text"))))
+    return tree.violations(damaged).select("doc_id", F.get("violations", F.lit(0)).alias("violation"))
+
+
+@query("SELECT c_custkey AS doc_id, c_custkey % 3 <> 1 AS tokens_lossless, c_custkey % 3 <> 2 AS tree_lossless FROM customer")
+def lossless_damaged(spark, sf_dir):
+    """A token's text changed in a third of the documents, and an element's in another."""
+    parsed = syntax(c.assignments(spark, sf_dir), checks.LOSSLESS, keep=["text"])
+    wrong = lambda name, at: F.transform(name, lambda x: F.struct(F.when((F.col("doc_id") % 3 == at) & (x["text"] == "<-"), "->").otherwise(x["text"]).alias("text")))
+    return checks.lossless_flags(parsed.withColumn("tokens", wrong("tokens", 1)).withColumn("elements", wrong("elements", 2)))
+
+
+@query("SELECT c_custkey AS doc_id, CAST(strlen(text) - CASE WHEN k = 1 THEN 1 ELSE 0 END AS BIGINT) AS covered, k = 0 AS contiguous FROM (SELECT c_custkey, c_custkey % 3 AS k, 'v' || c_custkey || ' <- ' || c_nationkey || 'L + 1' || chr(10) AS text FROM customer)")
+def coverage_damaged(spark, sf_dir):
+    """A blank taken out of a third of the documents, and two tokens swapped in another."""
+    parsed = syntax(c.assignments(spark, sf_dir), ["tokens.start,end"])
+    k = F.col("doc_id") % 3
+    swapped = F.concat(F.slice("tokens", 2, 1), F.slice("tokens", 1, 1), F.slice("tokens", F.lit(3), F.size("tokens")))
+    return checks.token_coverage(parsed.withColumn("tokens", F.when(k == 1, F.filter("tokens", lambda t, i: i != 1)).when(k == 2, swapped).otherwise(F.col("tokens"))))
+
+
 @query("SELECT is_token, count(*) AS n FROM (SELECT unnest(range(79)) AS k, true AS is_token UNION ALL SELECT unnest(range(33)), false) GROUP BY is_token")
 def kind_table(spark, sf_dir):
     return tree.kinds(spark).groupBy("is_token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, len(string_split(text, chr(10))) AS line_count FROM documents")
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS line_count, CAST(strlen(text) - strlen(string_split(text, chr(10))[-1]) AS BIGINT) AS last_start FROM documents")
 def sql_table_function(spark, sf_dir):
-    from .functions.udtf import register
-
     register(spark)
     c.documents(spark, sf_dir).createOrReplaceTempView("quillspark_sources")
-    return spark.sql("SELECT doc_id, count(*) AS line_count FROM quillspark_sources, LATERAL r_lines(text) GROUP BY doc_id")
+    return spark.sql("SELECT doc_id, count(*) AS line_count, max(start) AS last_start FROM quillspark_sources, LATERAL r_lines(text) GROUP BY doc_id")

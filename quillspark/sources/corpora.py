@@ -55,7 +55,12 @@ CALLS = "concat('f', o_custkey % 7, '(', o_orderkey, ', x = \"', o_orderstatus,
 DIRECTIVES = "concat('#line ', o_orderkey + 1, ' \"', o_orderstatus, '.R\"', chr(10), 'x <- 1', chr(10), '  # line 7', chr(10), 'y', chr(10))"
 FUNCTIONS = "concat('#'' Title ', p_name, chr(10), '#'' @param x,y size ', p_size, chr(10), '#'' @examples', chr(10), '#'' f(', p_partkey, ')', chr(10), 'f', p_partkey, ' <- function(x, y = ', p_size, ', x, ...) x + y', chr(10))"
 BROKEN = "concat('x <- \"a\\\\q', s_suppkey, '\" + 1e; y <- 0x + ', s_suppkey, '.5L', chr(10), '§', chr(10), '%in', chr(10), '\"open ', s_name)"
-PIPES = "concat('d |> f', n_nationkey, '(x = _) |> g', chr(10), 'a <- b = ', n_nationkey, chr(10))"
+PIPES = "concat('d |> f', c_custkey, '(x = _) |> g', chr(10), 'a <- b = ', c_custkey, chr(10))"
+CONTROL = "concat('for (i in 1:', c_custkey, ') { next }', chr(10), 'while (x < ', c_custkey, ') break', chr(10), 'repeat { f(i) }', chr(10), 'break', chr(10), 'if (a) { b } else ', c_custkey, chr(10))"
+INDICES = "concat('x', p_partkey, '[1, , drop = FALSE]', chr(10), 'y[[', p_size, ']]', chr(10), 'z[[1, 2]]', chr(10), 'w[[]]', chr(10))"
+NAMES = "concat('pkg', s_suppkey, '::f(a$b', s_suppkey, '@c)', chr(10), '\"s\":::g', chr(10), 'f()::h', chr(10), 'a$1', chr(10))"
+TRIVIA = "concat('..1 ... ..', c_custkey, 'a', chr(13), chr(10), '\"l', chr(10), 'm\" ', c_nationkey, chr(13), 'y', chr(10))"
+MARKUP = "concat('#'' @param ,x', chr(10), '#'' [a `b', chr(10), '#'' @foo ', p_size, chr(10), '#'' @section t', chr(10), 'f', p_partkey, chr(10))"
 
 
 def assignments(spark, sf_dir):
@@ -79,4 +84,24 @@ def broken(spark, sf_dir):
 
 
 def pipes(spark, sf_dir):
-    return _made(spark, sf_dir, "nation", "n_nationkey", PIPES)
+    return _made(spark, sf_dir, "customer", "c_custkey", PIPES)
+
+
+def control(spark, sf_dir):
+    return _made(spark, sf_dir, "customer", "c_custkey", CONTROL)
+
+
+def indices(spark, sf_dir):
+    return _made(spark, sf_dir, "part", "p_partkey", INDICES)
+
+
+def names(spark, sf_dir):
+    return _made(spark, sf_dir, "supplier", "s_suppkey", NAMES)
+
+
+def trivia(spark, sf_dir):
+    return _made(spark, sf_dir, "customer", "c_custkey", TRIVIA)
+
+
+def markup(spark, sf_dir):
+    return _made(spark, sf_dir, "part", "p_partkey", MARKUP)

@@ -1,8 +1,15 @@
+import codecs
+import random
+import re
+import time
+
 from pyspark.sql import functions as F
 
+from quillspark.functions import sidecar
 from quillspark.functions.udtf import register
-from quillspark.operators import docs, lines
-from quillspark.plans.syntax import syntax, table, tokens
+from quillspark.operators import docs, lines, tree
+from quillspark.plans.syntax import diagnostics, syntax, table, tokens
+from quillspark.sources import decode as decoding
 from quillspark.sources.decode import decode, decode_sources, map_offsets, read_files
 from quillspark.streaming.repl import complete_inputs, parse_stream
 
@@ -45,6 +52,46 @@ def test_files(spark, tmp_path):
     got = read_files(spark, str(tmp_path)).collect()
     assert [r.text for r in got] == ["x <- '�'\n"]
     assert read_files(spark, str(tmp_path), max_original=3).first().error == "OriginalTooLarge:3:9"
+    assert read_files(spark, str(tmp_path), mode="strict").first().error == "InvalidUtf8:6:1"
+    assert read_files(spark, str(tmp_path), max_decoded=9).first().error == "DecodedTooLarge:9:11"
+    assert read_files(spark, str(tmp_path), encoding="latin1").first().text == "x <- 'ÿ'\n"
+    # Issues go with the text into the parse of a file.
+    read = read_files(spark, str(tmp_path))
+    assert read.columns == ["doc_id", "source_name", "text", "issues", "boundaries", "error"]
+    assert [(r.code, r.start, r.end) for r in diagnostics(read).collect()] == [("R-SOURCE-001", 6, 9)]
+
+
+def test_decoding_is_the_codecs_and_linear(monkeypatch):
+    r = random.Random(5)
+    odd = [0x41, 0x0A, 0x80, 0xBF, 0xC0, 0xC2, 0xE0, 0xE2, 0x82, 0xAC, 0xED, 0xA0, 0xF0, 0x9F, 0x98, 0xF4, 0x90, 0xF5, 0xFF]
+    monkeypatch.setattr(decoding, "_CHUNK", 7)
+    for _ in range(3000):
+        raw = bytes(r.choice(odd) for _ in range(r.randint(0, 25)))
+        found = []
+
+        def record(e):
+            found.append((e.start, e.end))
+            return "\ufffd", e.end
+
+        codecs.register_error("quillspark-test", record)
+        text = raw.decode("utf-8", "quillspark-test")
+        d = decode(raw)
+        assert d["text"] == text and [(a, z) for a, z, _, _ in d["issues"]] == found
+        assert all(text.encode()[a:z] == b"\xef\xbf\xbd" for _, _, a, z in d["issues"])
+    monkeypatch.undo()
+    began = time.time()
+    d = decoding.decode_source(bytes(range(1, 256)) * 30_000)
+    assert len(d.issues[0]) == 30_000 * 128 and time.time() - began < 20
+
+
+def test_a_long_chain_is_parsed_in_the_row(spark):
+    n = 40_000
+    s = spark.createDataFrame([(1, "a" + "+a" * n)], "doc_id long, text string")
+    assert table(s, "elements.kind").where("kind = 'BINARY_EXPR'").count() == n
+    assert tree.operands(syntax(s, [tree.FIELDS])).count() == n
+    # A path only for what is located.
+    found = syntax(s, ["elements.kind,path"], located=["EXPRESSION_LIST"]).select(F.inline("elements")).where("path IS NOT NULL").collect()
+    assert [tuple(x) for x in found] == [("EXPRESSION_LIST", [0])]
 
 
 def test_one_python_node_and_null_text(spark):
@@ -59,10 +106,10 @@ def test_one_python_node_and_null_text(spark):
 def test_relational_runs_agree_with_the_sidecar(spark):
     text = "#' a\n  #' b\nx\n#' c\n\n#' d\nNULL\n#' e"
     s = spark.createDataFrame([(1, text), (2, "y"), (3, "#' z")], "doc_id long, text string")
-    got = {(r.doc_id, r.block, r.h_start, r.h_end, r.line_count) for r in docs.runs(tokens(s)).collect()}
+    both = syntax(s, docs.WITH_TREE)
+    got = {(r.doc_id, r.block, r.h_start, r.h_end, r.line_count) for r in docs.runs(both).collect()}
     assert got == {(r.doc_id, r.block, r.h_start, r.h_end, r.line_count) for r in table(s, "rox_blocks").collect()}
-    both = syntax(s, ["tokens", "elements"])
-    mine = docs.associate(docs.runs(both.select("doc_id", F.inline("tokens"))), both.select("doc_id", F.inline("elements")), s)
+    mine = docs.associate(both)
     columns = ["doc_id", "block", "state", "expr_start", "expr_end", "gap_start", "gap_end"]
     assert sorted(map(str, mine.select(columns).collect())) == sorted(map(str, table(s, "rox_assoc").select(columns).collect()))
 
@@ -95,9 +142,48 @@ def test_streams(spark, tmp_path):
     assert spark.table("parsed_out").count() == 5
 
 
-def test_violations_both_ways(spark):
-    from quillspark.operators import tree
+def test_points_and_ranges_against_the_sidecar(spark):
+    text = "#' @examples\n  #' f(1)\n#' é [a\nx\n\n#' b\n"
+    s = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = table(s, "rox_tokens").collect()
+    points = spark.createDataFrame([(1, i) for i in range(-1, len(text.encode()) + 3)], "doc_id long, point long")
+    for to in ("host", "projected"):
+        own = [(r.p_start, r.p_end, r.h_start, r.h_end) if to == "host" else (r.h_start, r.h_end, r.p_start, r.p_end) for r in rows]
+        for affinity in ("Left", "Right"):
+            got = {r.point: r.mapped for r in docs.map_points(docs.spans_of(table(s, "rox_tokens"), to), points, affinity).collect()}
+            assert got == {p: sidecar.map_point(own, p, affinity) for p in got} and len(got) == points.count()
+
+
+def test_lines_of_many_endings(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "é", "\n", "\r", "\r\n", "🦀"]) for _ in range(r.randint(0, 300))) for _ in range(40)] + [None, ""]
+    s = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for x in lines.line_table(s).orderBy("doc_id", "line").collect():
+        got.setdefault(x.doc_id, []).append((x.start, x.end, x.full_end, x.content))
+    for i, t in enumerate(texts):
+        if t is None:
+            assert i not in got
+            continue
+        at, want = 0, []
+        parts = re.split("(\r\n|\r|\n)", t)
+        for content, ending in zip(parts[::2], [*parts[1::2], ""]):
+            end = at + len(content.encode())
+            want.append((at, end, end + len(ending), content))
+            at = end + len(ending)
+        assert got[i] == want
+    plan = lines.line_table(s)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_views_shuffle_nothing(spark):
+    s = spark.createDataFrame([(1, "f(x)")], "doc_id long, text string")
+    parsed = syntax(s, [tree.FIELDS])
+    for view in (tree.calls, tree.call_arguments, tree.function_params, tree.operands, tree.branches, tree.loops, tree.top_expressions):
+        assert "Exchange" not in view(parsed)._jdf.queryExecution().executedPlan().toString()
 
+
+def test_violations_both_ways(spark):
     s = spark.createDataFrame([(1, "f(x) <- 'a"), (2, None), (3, "#' é\n)")], "doc_id long, text string")
     parsed = syntax(s, ["elements", "diagnostics"], keep=["text"]).persist()
     assert all(r.violations == [] for r in tree.violations(parsed).collect())
