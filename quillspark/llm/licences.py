@@ -96,19 +96,22 @@ COUNTER = [
 
 #: What looks like the short name of a licence of some version.
 MARKED = r"([a-z]+-[0-9][0-9.]*)"
+#: What lies between words, points at their ends included.
+BETWEEN = r"(?:\.*[^a-z0-9.+-])+|\.+$"
 
 
 def words(text: Column) -> Column:
     """Lower-cased words of a paragraph; points, plus and hyphens stay inside them, and ``name-2.0`` has a mark before it."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), MARKED, "idmark $1"), r"[^a-z0-9.+-]+", " ")
-    return F.filter(F.split(F.regexp_replace(plain, r"\.+( |$)", " "), " "), lambda w: w != "")
+    low = F.lower(text)
+    marked = F.when(low.rlike("-[0-9]"), F.regexp_replace(low, MARKED, "idmark $1")).otherwise(low)
+    return F.filter(F.split(F.regexp_replace(marked, BETWEEN, " "), " "), lambda w: w != "")
 
 
 # A line break that wraps a sentence: the next line goes on in small letters, capitals go on in capitals,
 # or the line ends in a word that needs another. Marks of comments before the next line are taken with it.
 WRAP = (
-    r"""(?<=[^\s.!?:;])[ \t]*\r?\n[ \t#*/]*(?=[a-z("])|(?<=[A-Z,])[ \t]*\r?\n[ \t#*/]*(?=[A-Z]{2})"""
-    r"""|(?:(?<=\bthe)|(?<=\bof)|(?<=\bunder)|(?<=\ba)|(?<=\bGNU))[ \t]*\r?\n[ \t#*/]*(?=[A-Z])"""
+    r"""\r?\n(?:(?:(?<=[^\s.!?:;]\n)|(?<=[^\s.!?:;]\r\n))[ \t#*/]*(?=[a-z("])|(?:(?<=[A-Z,]\n)|(?<=[A-Z,]\r\n))[ \t#*/]*(?=[A-Z]{2})"""
+    r"""|(?:(?<=\bthe\n)|(?<=\bof\n)|(?<=\bunder\n)|(?<=\ba\n)|(?<=\bGNU\n))[ \t#*/]*(?=[A-Z]))"""
 )
 
 
@@ -134,11 +137,11 @@ def _examples() -> list[tuple[str, str, bool]]:
 
 
 def _features(df: DataFrame, col: str = "_words") -> DataFrame:
-    """Distinct words and word pairs, in ``_grams``."""
+    """Words and word pairs, in ``_grams``; the vectors count each once."""
     # Marks of both ends: a paragraph that begins or ends with a word differs from one that has it within.
     bounded = df.withColumn("_bounded", F.concat(F.array(F.lit("<s>")), F.col(col), F.array(F.lit("</s>"))))
     pairs = NGram(n=2, inputCol="_bounded", outputCol="_pairs").transform(bounded)
-    return pairs.withColumn("_grams", F.array_distinct(F.concat(F.col(col), F.col("_pairs")))).drop("_pairs", "_bounded")
+    return pairs.withColumn("_grams", F.concat(F.col(col), F.col("_pairs"))).drop("_pairs", "_bounded")
 
 
 class Classifier:
@@ -193,7 +196,7 @@ def train(spark: SparkSession) -> Classifier:
     """Fit and calibrate on the notices of this module; the same in every session."""
     data = _features(_training(spark))
     grams = sorted(r[0] for r in data.where("not held").select(F.explode("_grams")).distinct().collect())
-    vectors = CountVectorizerModel.from_vocabulary(grams, inputCol="_grams", outputCol="_vector", minTF=1.0)
+    vectors = CountVectorizerModel.from_vocabulary(grams, inputCol="_grams", outputCol="_vector", minTF=1.0, binary=True)
     fit = vectors.transform(data.where("not held")).coalesce(1).cache()
     lr = LogisticRegression(featuresCol="_vector", labelCol="label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction", regParam=REGULARISATION, maxIter=STEPS, family="multinomial")
     made = Classifier(vectors, lr.fit(fit))
