@@ -60,13 +60,20 @@ def test_pipeline_against_brute_force(spark, rows):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs)
-    kept = [r for r in docs.collect() if (m := model.mixture(r.text)) and m[0][1] >= langid.LEAST_SHARE]
+    kept = [r for r in docs.collect() if model.explains(r.text)]
     totals, seen = {}, {}
     for r in kept:
         totals[r.source] = totals.get(r.source, 0) + 1
         for line in {x.strip(" \t\r\f\v") for x in r.text.split("\n")} - {""}:
             seen[r.source, line] = seen.get((r.source, line), 0) + 1
-    drop = {k for k, n in seen.items() if n >= 3 and n > 0.3 * totals[k[0]]}
+    often = {k for k, n in seen.items() if n >= 3 and n > cp.LINE_RATIO * totals[k[0]]}
+    # Of a line's documents, the first and the last lines beside it: copies have the same.
+    beside = {k: [] for k in often}
+    for r in kept:
+        keys = [x for y in r.text.split("\n") if (x := y.strip(" \t\r\f\v"))]
+        for line in {x for x in keys if (r.source, x) in often}:
+            beside[r.source, line].append([x for x in keys if x != line])
+    drop = {k for k, others in beside.items() if max(len({x[e] for x in others if x}) for e in (0, -1)) >= max(3, cp.LINE_DIFFER * len(others))}
     texts = {r.doc_id: "\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" \t\r\f\v")) not in drop) for r in kept}
     source = {r.doc_id: r.source for r in kept}
     alone = [d for d, _, c in jaccard.brute_force(list(texts.items()), 5, Fraction(4, 5)) if c == d]

@@ -103,6 +103,74 @@ def test_mixture_and_held_out_accuracy(spark):
     assert model.mixture(long)[0][0] == "fr"
 
 
+def plain_mixture(model, text):
+    """The model's rule in plain Python: hashed n-grams, greedy growth of the set, expectation-maximisation."""
+    import math
+
+    letters = "".join(c if c.isalpha() or 0x300 <= ord(c) <= 0x36F else " " for c in text.lower())
+    points = [32, *(ord(c) for i, c in enumerate(letters) if c != " " or i and letters[i - 1] != " "), 32]
+    counts = {}
+    for i in range(len(points)):
+        h = 0
+        for k in range(min(4, len(points) - i)):
+            h = (h ^ points[i + k]) * langid._PRIMES[k] % 2**32
+            h ^= h >> 15
+            if k or points[i] != 32:
+                counts[h % langid.BUCKETS] = counts.get(h % langid.BUCKETS, 0) + 1
+    p = {b: [float(x) for x in model.probability[b]] for b in counts}
+    total = sum(counts.values())
+
+    def likelihood(chosen, weights):
+        return sum(n * math.log(sum(w * p[b][c] for c, w in zip(chosen, weights))) for b, n in counts.items())
+
+    singles = [likelihood([c], [1.0]) for c in range(len(model.languages))]
+    chosen, weights = [singles.index(max(singles))], [1.0]
+    best, penalty = max(singles), langid.PENALTY * math.log(1 + total)
+    while len(chosen) < len(model.languages):
+        mix = {b: sum(w * p[b][c] for c, w in zip(chosen, weights)) for b in counts}
+        slopes = {c: sum(n * p[b][c] / mix[b] for b, n in counts.items()) - total for c in range(len(model.languages)) if c not in chosen}
+        new = max(slopes, key=slopes.get)
+        if slopes[new] <= penalty:
+            break
+        trial, w, before = [*chosen, new], [*(x * 0.8 for x in weights), 0.2], -math.inf
+        for _ in range(langid.STEPS):
+            now = likelihood(trial, w)
+            if now - before < 1e-3:
+                break
+            before = now
+            mix = {b: sum(x * p[b][c] for c, x in zip(trial, w)) for b in counts}
+            w = [x * sum(n * p[b][c] / mix[b] for b, n in counts.items()) / total for c, x in zip(trial, w)]
+        if before - best <= penalty:
+            break
+        chosen, weights, best = trial, w, before
+    gain = sum(n * math.log(sum(w * p[b][c] for c, w in zip(chosen, weights)) / model.noise) for b, n in counts.items()) / total
+    return {model.languages[c]: w for c, w in zip(chosen, weights)}, gain
+
+
+def test_mixture_against_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs)
+    by = {r.lang: r.text for r in docs.where("n_chars > 3000").dropDuplicates(["lang"]).collect()}
+    texts = [r.text for r in docs.where("n_chars < 3000").orderBy("doc_id").limit(25).collect()]
+    texts += [by["en"][:900] + by["de"][:700], by["fr"][:400] + "12 ## " + by["es"][:900], "Straße ΑΣ İ x", "a", "random zqxj wvkk qqq", "\n".join(t[:800] for t in by.values())]
+    for t in texts:
+        want, gain = plain_mixture(model, t)
+        got, mine = model.read(t)
+        assert dict(got).keys() == want.keys() and abs(mine - gain) < 1e-4 and all(abs(s - want[k]) < 1e-4 for k, s in got)
+
+
+def test_what_the_language_stage_keeps(spark):
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    by = {}
+    for r in docs:
+        by.setdefault(r.lang, r.text) if r.text and len(r.text) > 2000 else None
+    r = random.Random(4)
+    junk = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(1500)), "простой русский текст " * 20, "这是一个中文文本" * 30, "12 ## 34", ""]
+    assert not any(map(model.explains, junk)) and model.explains("\n".join(t[:800] for t in by.values()))
+    assert sum(model.explains(d.text) for d in docs) >= 0.995 * len(docs)
+
+
 def test_frames():
     r = random.Random(3)
     for raw in (b"", bytes([128]) * 576, bytes([128] * 40 + [5] + [128] * 535), r.randbytes(576 * 40), bytes(range(256)) * 9, bytes([128, 128, 7] * 192 * 5)):
