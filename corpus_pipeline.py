@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, jaccard, langid, linededup, mixing
 from quillspark.llm.idfiles import tokenizer_path
-from quillspark.llm.shared import documents, write_table
+from quillspark.llm.shared import documents, drop_since, mark, shared_dir, write_table
 from quillspark.session import ship
 
 
@@ -26,30 +26,54 @@ LINE_DIFFER = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a main language among those learned from the labelled ones; the others go."""
+    """Documents that the languages learned from the labelled ones explain; the others go.
+
+    Null and empty texts and texts without a letter go. A text may mix languages, be of any length and be
+    repeated: equal texts are judged alike. Without a labelled document nothing is learned and all go; an
+    empty table stays empty. Null ids and sources change nothing; all columns pass, whatever their names.
+    """
     ship(spark)
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than LINE_RATIO of a source's documents go, unless the documents are copies; the source stands for the host."""
+    """Lines on more than LINE_RATIO of a source's documents go, unless the documents are copies; the source stands for the host.
+
+    Documents stay, with ``n_chars`` counted anew; null text stays null, a text all of whose lines go becomes
+    empty. Null sources are one source. A line counts once a document; repeated rows count each; a ratio equal
+    to the bound keeps the line. An empty table stays empty; all columns pass, helper columns are ``_ld_*``.
+    """
     out = linededup.dedup_lines(docs, host_col="source", text_col="text", max_ratio=LINE_RATIO, least_differ=LINE_DIFFER).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    The one of the smallest id stays; where ids repeat or are null, the first by id, null last, then by a hash
+    of the row. Null and empty texts link with nothing and stay, as often as they are there; texts of fewer than
+    five words link as equal sequences. An empty table stays empty; all columns pass, whatever their names.
+    """
     ship(spark)
-    return jaccard.keep_one(docs, 5, Fraction(4, 5)).select(*docs.columns)
+    return jaccard.keep_one(docs, 5, Fraction(4, 5)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
+    """Every document as often as the mix of sources takes it.
+
+    Null and empty texts have size 0 and are taken by their source's rate; a source without a word takes none
+    of its documents; null sources are one source. Rows that repeat an id are drawn each for itself; ties in
+    size are ordered by a hash of the id. An empty table stays empty; all columns pass, helpers are ``_mix_*``.
+    """
     return mixing.mix(docs)
 
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text, a row for each copy in the mix."""
+    """Token counts and digests of the ids and of the decoded text, a row for each copy in the mix.
+
+    Null and empty texts have no ids and decode to the empty text; texts of any length are encoded whole;
+    repeated rows give repeated results, null ids stay null; an empty table gives an empty result.
+    """
     ship(spark)
     return bpe.digests(docs, tokenizer_path())
 
@@ -67,7 +91,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, place = documents(spark, sf_dir), mark()
     for _, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir))
+        path = shared_dir(spark)
+        docs = write_table(stage(spark, docs, sf_dir), path)
+        # What the stage wrote on its way, and the table it read, are not needed any more.
+        drop_since(spark, place, (path,))
     return STAGES[-1][1](spark, docs, sf_dir)
