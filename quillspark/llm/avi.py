@@ -355,7 +355,7 @@ def shot_starts(counts: np.ndarray) -> list[int]:
     mean = (sums[i] - sums[lo]) / n
     spread = np.sqrt(np.maximum(0, (squares[i] - squares[lo]) / n - mean * mean))
     least = LEAST_CUT * 2 * counts[0].sum()
-    cut = (gaps > least) & (gaps > mean + DEVIATIONS * spread) & (i > 0)
+    cut = (gaps > least) & (gaps > mean + DEVIATIONS * spread)
     return [0, *(np.flatnonzero(cut) + 1).tolist()]
 
 
@@ -381,19 +381,26 @@ def store_all(payloads: list[bytes]) -> list[bytes]:
 
 
 def load_all(files: list[bytes]) -> list[dict]:
-    """payload (bytes), fps, frames and shots (first frames) of each file."""
+    """payload (bytes), fps, frames and shots (first frames) of each file; frames of one header are decoded together."""
     parsed = [parse_avi(f) for f in files]
     frames = [f[a : a + s] for f, p in zip(files, parsed) for a, s in p["frames"]]
-    payload, counts = [], []
-    for lo in range(0, len(frames), SLICE_FRAMES):
-        coefficients, (_, _, quant) = decode_frames(frames[lo : lo + SLICE_FRAMES])
-        payload.append(coefficient_bytes(coefficients))
-        counts.append(histograms(pixels(coefficients, quant)))
-    joined, levels = b"".join(payload), np.concatenate(counts) if counts else np.zeros((0, BINS), np.int64)
+    alike: dict[bytes, list[int]] = {}
+    for i, frame in enumerate(frames):
+        alike.setdefault(_split_frame(frame)[0], []).append(i)
+    payload: list[bytes] = [b""] * len(frames)
+    levels = np.zeros((len(frames), BINS), np.int64)
+    for of in alike.values():
+        for lo in range(0, len(of), SLICE_FRAMES):
+            some = of[lo : lo + SLICE_FRAMES]
+            coefficients, (_, _, quant) = decode_frames([frames[i] for i in some])
+            raw, size = coefficient_bytes(coefficients), coefficients[0].size
+            for k, i in enumerate(some):
+                payload[i] = raw[k * size : (k + 1) * size]
+            levels[some] = histograms(pixels(coefficients, quant))
     out, at = [], 0
     for p in parsed:
         n = len(p["frames"])
-        out.append({"payload": joined[at * FRAME : (at + n) * FRAME], "fps": p["fps"], "frames": n, "shots": shot_starts(levels[at : at + n])})
+        out.append({"payload": b"".join(payload[at : at + n]), "fps": p["fps"], "frames": n, "shots": shot_starts(levels[at : at + n])})
         at += n
     return out
 
@@ -442,10 +449,8 @@ def clip_rows(media: DataFrame, media_col="media", id_col="doc_id") -> DataFrame
 
 
 def feature(x: dict) -> str:
-    """Frames, shots and where they begin; a hash stands for many."""
-    starts = ",".join(map(str, x["shots"]))
-    starts = starts if len(starts) <= 120 else hashlib.sha256(starts.encode()).hexdigest()
-    return f"fps={x['fps']:g};frames={x['frames']};shots={len(x['shots'])};starts={starts}"
+    """Rate, frames, shots and where each begins."""
+    return f"fps={x['fps']:g};frames={x['frames']};shots={len(x['shots'])};starts={','.join(map(str, x['shots']))}"
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:

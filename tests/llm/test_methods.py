@@ -208,9 +208,59 @@ def test_riff_and_shots():
         avi.parse_avi(raw[:-5])
     dark, bright = np.eye(16, dtype=np.int64)[1] * 576, np.eye(16, dtype=np.int64)[12] * 576
     assert avi.shot_starts(np.array([dark] * 5 + [bright] * 4 + [dark] * 3)) == [0, 5, 9]
+    assert avi.shot_starts(np.array([dark, *[bright] * 4])) == [0, 1]
     assert avi.shot_starts(np.array([dark] * 5)) == [0] and avi.shot_starts(np.zeros((0, 16), np.int64)) == []
 
 
+def plain_feature(payload):
+    """Histograms and cuts in plain Python, from the coefficients that the payload is."""
+    import math
+
+    basis = [[int(x) for x in row] for row in avi._BASIS]
+    zigzag, quant = [int(x) for x in avi.ZIGZAG], avi.decode_frames(avi.encode_frames(payload[: avi.FRAME]))[1][2]
+    counts = []
+    for lo in range(0, len(payload), avi.FRAME):
+        own = [0] * avi.BINS
+        for at in range(lo, lo + avi.FRAME, 64):
+            square = [[0] * 8 for _ in range(8)]
+            for k in range(64):
+                square[zigzag[k] // 8][zigzag[k] % 8] = (payload[at + k] - 128) * int(quant[k])
+            rows = [[sum(basis[u][x] * square[u][v] for u in range(8)) for v in range(8)] for x in range(8)]
+            for x in range(8):
+                for y in range(8):
+                    grey = (sum(rows[x][v] * basis[v][y] for v in range(8)) + (1 << 23) >> 24) + 128
+                    own[min(255, max(0, grey)) * avi.BINS // 256] += 1
+        counts.append(own)
+    gaps = [sum(abs(a - b) for a, b in zip(x, y)) for x, y in zip(counts, counts[1:])]
+    starts = [0]
+    for i, gap in enumerate(gaps):
+        before = gaps[max(0, i - avi.WINDOW) : i]
+        mean = sum(before) / max(1, len(before))
+        spread = math.sqrt(max(0, sum(g * g for g in before) / max(1, len(before)) - mean * mean))
+        if gap > avi.LEAST_CUT * 2 * avi.FRAME and gap > mean + avi.DEVIATIONS * spread:
+            starts.append(i + 1)
+    return f"fps={avi.FPS:g};frames={len(counts)};shots={len(starts)};starts={','.join(map(str, starts))}"
+
+
+def test_features_against_plain_python():
+    r = random.Random(12)
+    texts = ["", "abc", "Zürich 中文 " * 90, "a" * 3000 + "\x00\x7f" * 900 + "z" * 4000, "".join(chr(r.randrange(32, 127)) for _ in range(6000)), "0" * 1200 + "~" * 1200 + "\n" * 1200]
+    files = [avi.store(avi.pad(t.encode())) for t in texts]
+    assert [avi.feature(x) for x in avi.load_all(files)] == [plain_feature(avi.pad(t.encode())) for t in texts]
+    # Many shots are listed like few.
+    many = avi.load_all([avi.store(b"".join(bytes([128 + 100 * (i % 2)] + [128] * 63) * 9 for i in range(300)))])[0]
+    assert avi.feature(many).count(",") == len(many["shots"]) - 1
+
+
+def test_files_of_several_headers_together():
+    own = avi.store(avi.pad(b"x" * 1500))
+    head = avi.HEAD
+    at = head.index(b"\xff\xdb") + 5
+    other = own.replace(head, head[:at] + bytes(2 * x for x in head[at : at + 64]) + head[at + 64 :])
+    one, two = avi.load_all([own, other])
+    assert one["payload"] == two["payload"] == avi.pad(b"x" * 1500) and one["frames"] == two["frames"] == 3
+
+
 def test_digest_likeness():
     r = random.Random(7)
     words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(400)]
