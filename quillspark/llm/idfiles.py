@@ -10,7 +10,7 @@ the documents, u32 values of each, u8 null flags of the ids, control bytes, data
 also holds ``ranks.u4``: the ids by rank.
 
 Defined results: a null or empty text holds the end id alone; a null ``doc_id`` is kept (it sorts
-first); rows that repeat a ``doc_id`` are all kept, ordered by their ids; an empty table writes no
+first); rows that repeat a ``doc_id`` are all kept, ordered by a hash of their ids; an empty table writes no
 shards and reads as no rows; other columns are ignored.
 """
 
@@ -22,10 +22,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, partitions, shared_dir, slices, write_file, write_table
+from .shared import documents, partitions, read_file, shared_dir, slices, write_file, write_table
 from .tokens import library_encoder
 
 MAGIC = b"QSI1"
@@ -131,8 +131,12 @@ def _frequencies(encoded: DataFrame) -> DataFrame:
     return encoded.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_id_files(encoded: DataFrame, folder: str, shards: int, kind: str = "<u4") -> list[dict]:
-    """Write what ``encode_documents`` gave in ascending doc_id order; returns the manifest, a row a shard file."""
+def write_id_files(encoded: DataFrame, folder: str, shards: int, kind: str = "<u4") -> DataFrame:
+    """Write what ``encode_documents`` gave in ascending doc_id order; returns the manifest, a table with a row a shard file.
+
+    part, shard, name, docs, values, and start: the values in the files before it. The manifest is
+    written beside the shards; its running sum has a row for every SHARD_VALUES ids or task.
+    """
     spark = encoded.sparkSession
     # As many rows as the vocabulary has ids, however large the corpus.
     by = _frequencies(encoded).orderBy(F.desc("n"), "id").select("id").collect()
@@ -167,34 +171,28 @@ def write_id_files(encoded: DataFrame, folder: str, shards: int, kind: str = "<u
             close()
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("name", pa.string()), ("docs", pa.int64()), ("values", pa.int64())]))
 
-    tokens = encoded.where("counts IS NULL").select("doc_id", "ids")
-    ordered = tokens.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    done = ordered.mapInArrow(run, "part long, shard long, name string, docs long, values long").collect()
-    manifest = [r.asDict() for r in sorted(done, key=lambda r: (r.part, r.shard))]
-    start = 0
-    for r in manifest:
-        r["start"] = start
-        start += r["values"]
-    return manifest
-
-
-def read_id_files(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
-    """doc_id, start, n_tokens, ids (binary, unsigned 32-bit) of every document in the files."""
-    if not manifest:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    starts = {r["name"].rsplit("/", 1)[1]: r["start"] for r in manifest}
-    order = spark.read.format("binaryFile").load(f"{folder}/ranks.u4").select("content").first().content
-    held = spark.sparkContext.broadcast((starts, np.frombuffer(bytes(order), "<u4")))
+    # Rows of one id, or without one, are told apart by a hash, so that they can lie in several tasks.
+    tokens = encoded.where("counts IS NULL").select("doc_id", "ids", F.xxhash64("ids").alias("hash"))
+    by = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    ordered = tokens.repartitionByRange(shards, *by).sortWithinPartitions(*by, "ids").select("doc_id", "ids")
+    done = write_table(ordered.mapInArrow(run, "part long, shard long, name string, docs long, values long"))
+    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    return write_table(done.withColumn("start", F.coalesce(F.sum("values").over(before), F.lit(0))), f"{folder}/manifest")
+
+
+def read_id_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids (binary, unsigned 32-bit) of every document in the files of the manifest, each file in one task."""
+    # Four bytes for each id of the vocabulary that occurs.
+    held = spark.sparkContext.broadcast(np.frombuffer(read_file(f"{folder}/ranks.u4"), "<u4"))
 
     def run(batches):
-        starts, order = held.value
+        order = held.value
         for b in batches:
-            for path, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                ids, counts, ranks = parse_shard(raw.as_py())
+            for name, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids, counts, ranks = parse_shard(read_file(name))
                 values = order[ranks]
                 ends = np.cumsum(counts, dtype=np.int64)
                 at = ends - counts
-                first = starts[path.rsplit("/", 1)[1]]
                 for lo in range(0, len(ids), 2000):
                     hi = min(lo + 2000, len(ids))
                     yield pa.RecordBatch.from_arrays(
@@ -202,7 +200,7 @@ def read_id_files(spark: SparkSession, folder: str, manifest: list[dict]) -> Dat
                         ["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.qsi").load(folder).select("path", "content")
+    files = manifest.select("name", "start").repartition(partitions(spark), "name")
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
