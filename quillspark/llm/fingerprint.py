@@ -5,12 +5,13 @@ in two bits by the quartile its count falls in; in front go a logarithmic length
 the quartiles. Two digests differ by a score that is bounded, and likeness is 1 less its share of
 the bound. Shifted, cut or edited text moves few buckets across a quartile.
 
-``neighbours`` pairs each document with the next in ascending ``doc_id``. Ids are dealt to buckets
-by quantiles, every bucket also gets the first document of the one after it, and tasks stream
-through their sorted buckets; no text leaves the executors.
+``neighbours`` pairs each document with the next in ascending ``doc_id``. Ids are dealt to cells by
+quantiles, cells in their order to tasks by their bytes, a heavy cell of one id is cut by the hash of
+its texts, every cell also gets the first document of the one after it, and tasks stream through
+their sorted cells; no text leaves the executors.
 
 Defined results: null is the empty text; texts below three bytes have the digest of no triplets;
-equal texts have equal digests; rows that repeat a ``doc_id`` are ordered by their text; null ids
+equal texts have equal digests; rows that repeat a ``doc_id`` are ordered by a hash of their text (xxhash64, seed 42), then the text; null ids
 sort first; in a table of one document the next is itself; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -99,40 +100,76 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+class _Cells:
+    """Where rows go: ids are cut at bounds, and a cell between two bounds that holds one id alone is cut again by a hash."""
+
+    def __init__(self, bounds: np.ndarray, pieces: dict[int, int] | None = None):
+        self.bounds, self.pieces = bounds, pieces or {}
+        sizes = np.array([self.pieces.get(k, 1) for k in range(len(bounds) + 2)])
+        self.first = np.cumsum(sizes) - sizes
+
+    def between(self, known: pd.Series, ids: pd.Series) -> np.ndarray:
+        """The place between bounds; null ids, given as 0, have the first to themselves."""
+        return np.where(known.to_numpy(bool), np.searchsorted(self.bounds, ids.to_numpy(np.int64), "right") + 1, 0)
+
+    def of(self, known: pd.Series, ids: pd.Series, hashes: pd.Series) -> np.ndarray:
+        at = self.between(known, ids)
+        out = self.first[at]
+        for k, n in self.pieces.items():
+            mine = at == k
+            # Hashes in their order, from the least 64-bit number up.
+            out[mine] += ((hashes.to_numpy()[mine].astype(np.float64) + 2.0**63) / 2.0**64 * n).astype(np.int64).clip(0, n - 1)
+        return out
+
+
 def _with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, text, dealt and sorted so that each row's successor follows it; ``extra`` marks rows that only follow."""
-    n = 4 * parts
-    ids = docs.select("doc_id")
-    # Bounds and first ids of the buckets: as many values as there are buckets, not documents.
-    cuts = ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n)
-    bounds = np.unique(np.array(cuts).astype(np.int64))
-
-    def place(x: pd.Series) -> np.ndarray:
-        known = x.notna().to_numpy()
-        values = x.fillna(0).astype("int64").to_numpy()
-        return np.where(known, np.searchsorted(bounds, values, "right") + 1, 0)
+    """doc_id, text, dealt by ranges and sorted so that each row's successor follows it; ``extra`` marks rows that only follow."""
+    # Bounds, bytes and first rows of the cells: as many values as there are cells, not documents.
+    n = 8 * parts
+    own = [F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0).cast("long"))]
+    cuts = docs.select("doc_id").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n)
+    rough = _Cells(np.unique(np.array(cuts).astype(np.int64)))
 
     @F.pandas_udf("long")
-    def bucket_of(x: pd.Series) -> pd.Series:
-        return pd.Series(place(x))
+    def between(known: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series(rough.between(known, x))
 
-    firsts = ids.groupBy(bucket_of("doc_id").alias("bucket")).agg(F.min("doc_id").alias("first")).collect()
-    firsts = sorted((r.bucket, r.first) for r in firsts)
-    before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}
-    first_of = dict(firsts)
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).groupBy(between(*own).alias("k")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
+    # Long texts and many rows both weigh; a cell of one id alone that is too heavy is cut by the hash of its texts.
+    weight = {r.k: r.bytes + 200 * r.rows for r in sizes}
+    fair = max(1, sum(weight.values()) // (2 * parts))
+    cells = _Cells(rough.bounds, {r.k: int(min(4 * parts, -(-weight[r.k] // fair))) for r in sizes if r.lo == r.hi and weight[r.k] > fair})
 
-    @F.pandas_udf("array<struct<bucket:bigint,extra:int>>")
-    def dealt(x: pd.Series) -> pd.Series:
+    @F.pandas_udf("long")
+    def cell_of(known: pd.Series, x: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(cells.of(known, x, h))
+
+    # The hash orders rows of one id; where no cell is cut by it, it is not needed to tell cells apart.
+    hashed = F.xxhash64("text") if cells.pieces else F.lit(0).cast("long")
+    found = docs.groupBy(cell_of(*own, hashed).alias("cell")).agg(F.min(F.struct(own[0].alias("known"), own[1].alias("id"), hashed.alias("hash"))).alias("first")).collect()
+    firsts = {r.cell: tuple(r["first"]) for r in found}
+    filled = sorted(firsts)
+    before = {c: filled[i - 1] for i, c in enumerate(filled)}
+    # Cells in order fill the tasks up to a fair share of the weight.
+    share = {c: weight[k] / cells.pieces.get(k, 1) for k in weight for c in range(int(cells.first[k]), int(cells.first[k]) + cells.pieces.get(k, 1))}
+    total, running, task = sum(share.values()) or 1, 0.0, {}
+    for c in filled:
+        task[c] = min(parts - 1, int(running / total * parts))
+        running += share[c]
+
+    @F.pandas_udf("array<struct<cell:bigint,task:int,extra:int>>")
+    def dealt(known: pd.Series, x: pd.Series, h: pd.Series) -> pd.Series:
         out = []
-        for b, v in zip(place(x).tolist(), x.tolist()):
-            row = [{"bucket": b, "extra": 0}]
-            if b == 0 or v == first_of[b]:
-                row.append({"bucket": before[b], "extra": 1})
+        for c, *key in zip(cells.of(known, x, h).tolist(), known.tolist(), x.tolist(), h.tolist()):
+            row = [{"cell": c, "task": task[c], "extra": 0}]
+            if firsts[c] == tuple(key):
+                row.append({"cell": before[c], "task": task[before[c]], "extra": 1})
             out.append(row)
         return pd.Series(out)
 
-    rows = docs.select("doc_id", "text", F.explode(dealt("doc_id")).alias("to")).select("doc_id", "text", "to.bucket", "to.extra")
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.withColumn("hash", hashed).select("doc_id", "text", "hash", F.inline(dealt(*own, "hash")))
+    order = [F.xxhash64("text"), F.col("text")]
+    return rows.repartitionById(parts, F.col("task")).sortWithinPartitions("cell", "extra", F.col("doc_id").asc_nulls_first(), *order).select("doc_id", "text", F.col("cell").alias("bucket"), "extra")
 
 
 def neighbours(docs: DataFrame, id_col="doc_id", text_col="text", parts: int | None = None) -> DataFrame:
@@ -163,8 +200,14 @@ def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
     return neighbours(documents(spark, sf_dir))
 
 
-def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple]:
-    rows = sorted((d, t or "") for d, t in rows)
+def brute_force(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
+    import xxhash
+
+    def order(row):
+        h = xxhash.xxh64_intdigest((row[1] or "").encode(), 42)
+        return row[0] is not None, row[0] or 0, h - (1 << 64) * (h >= 1 << 63), row[1] or ""
+
+    rows = [(d, t or "") for d, t in sorted(rows, key=order)]
     out = []
     for i, (d, t) in enumerate(rows):
         after = rows[(i + 1) % len(rows)][1]
