@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .idfiles import tokenizer_path
 from .lexicon import Lexicon, compile_lexicon
 from .shared import documents, shared_dir, slices, write_file, write_table
-from .tokens import CACHE_LENGTH, ODD, PieceTable, groups, pieces_of
+from .tokens import CACHE_LENGTH, ODD, PieceTable, cuts, look_up_texts, pieces_of
 from .workspace import kept
 
 #: Words in the lexicon at most; a bound on its size, not on the words that are encoded.
@@ -157,7 +157,7 @@ class WordBPE:
         return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [ids for some in groups([t.encode() for t in texts]) for ids in self.pieces.look_up(some)]
+        return look_up_texts(self.pieces, texts)
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False): this vocabulary has no decoder."""
@@ -189,8 +189,8 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col="text") -> DataFrame:
 
         for b in slices(batches):
             for t in b.column(0).to_pylist():
-                if t:
-                    held.update(pieces_of(t))
+                for part in cuts((t or "").encode()):
+                    held.update(pieces_of(part.decode()))
                     if len(held) > COUNT_PIECES:
                         yield counts()
         yield counts()
@@ -244,6 +244,14 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def _joined_sha256(strings: list[str], ids: np.ndarray, step: int = 1 << 16) -> str:
+    """The digest of the ids' strings joined by blanks, some at a time."""
+    found = hashlib.sha256()
+    for lo in range(0, len(ids), step):
+        found.update(((" " if lo else "") + " ".join(map(strings.__getitem__, ids[lo : lo + step].tolist()))).encode())
+    return found.hexdigest()
+
+
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded and decoded in one worker."""
     lexicon = build_lexicon(docs, tokenizer)
@@ -255,8 +263,8 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
             n, sums, back = [], [], []
             for ids in enc.encode([t or "" for t in b.column(1).to_pylist()]):
                 n.append(len(ids))
-                sums.append(hashlib.sha256(" ".join(map(numbers.__getitem__, ids.tolist())).encode()).hexdigest())
-                back.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
+                sums.append(_joined_sha256(numbers, ids))
+                back.append(_joined_sha256(enc.strings, ids))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

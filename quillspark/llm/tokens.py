@@ -143,7 +143,36 @@ class PieceTable:
         return [found[a:z] for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
-def groups(texts: list, most: int = 1 << 20):
+#: Bytes of a text that are worked on at a time.
+SLICE = 1 << 20
+
+
+def cuts(raw: bytes, most: int = SLICE):
+    """A text in slices of about that many bytes, cut at blanks: no token crosses one. A run without blanks stays whole."""
+    at = 0
+    while len(raw) - at > most:
+        ends = [e for e in (raw.find(b" ", at + most), raw.find(b"\n", at + most)) if e >= 0]
+        if not ends:
+            break
+        yield raw[at : min(ends)]
+        at = min(ends)
+    yield raw[at:]
+
+
+def look_up_texts(table: PieceTable, texts: list[str]) -> list[np.ndarray]:
+    """The ids of each text, however long, with no more than some slices of them in work at a time."""
+    parts, of = [], []
+    for i, t in enumerate(texts):
+        for part in cuts(t.encode()):
+            parts.append(part)
+            of.append(i)
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for i, ids in zip(of, (ids for some in groups(parts) for ids in table.look_up(some))):
+        found[i].append(ids)
+    return [x[0] if len(x) == 1 else np.concatenate(x) for x in found]
+
+
+def groups(texts: list, most: int = SLICE):
     """Runs of texts of a bounded length together."""
     held, total = [], 0
     for t in texts:
@@ -223,7 +252,7 @@ class LibraryEncoder:
         return got
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [ids for some in groups([t.encode() for t in texts]) for ids in self.pieces.look_up(some)]
+        return look_up_texts(self.pieces, texts)
 
 
 def library_encoder(path: str) -> LibraryEncoder:

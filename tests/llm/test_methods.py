@@ -39,6 +39,49 @@ def test_encoders_equal_the_library():
         assert own.decode(a) == tok.decode(e, skip_special_tokens=False)
 
 
+def test_slices_of_long_texts(monkeypatch):
+    r = random.Random(13)
+    texts = ["".join(r.choice("ab \n.é") for _ in range(r.randint(0, 400))) for _ in range(60)] + ["x" * 500, " " * 200, ""]
+    for t in texts:
+        raw = t.encode()
+        assert b"".join(tokens.cuts(raw, 20)) == raw and all(len(p) < 60 or b" " not in p[21:] for p in tokens.cuts(raw, 20))
+    own = bpe.WordBPE(PATH)
+    whole = [x.tolist() for x in own.encode(texts)]
+    monkeypatch.setattr(tokens.cuts, "__defaults__", (20,))
+    assert [x.tolist() for x in own.encode(texts)] == whole
+    ids = np.arange(1000) % len(own.strings)
+    assert bpe._joined_sha256(own.strings, ids, 7) == bpe._joined_sha256(own.strings, ids) and bpe._joined_sha256(own.strings, ids[:0]) == bpe.hashlib.sha256(b"").hexdigest()
+    s = jaccard.Shingler(3)
+    want = [jaccard.Shingler(3)(t).tolist() for t in texts]
+    monkeypatch.setattr(jaccard, "SLICE", 15)
+    assert [s(t).tolist() for t in texts] == want
+
+
+def test_a_very_long_text_in_bounded_memory():
+    """20 MB of text through the word table, the shingles and the digests in a process of its own."""
+    import subprocess
+    import sys
+
+    code = f"""
+import resource, random
+from quillspark.llm import bpe, fingerprint, jaccard, langid, tokens
+from quillspark.llm.avi import pad
+r = random.Random(1)
+words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+text = " ".join(r.choices(words, k=3_100_000))
+def more(f):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    f()
+    return (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10
+own = bpe.WordBPE({PATH!r})
+own.encode(["a"])
+print(len(text) >> 20, more(lambda: own.encode([text])), more(lambda: jaccard.Shingler(5)(text)), more(lambda: fingerprint.digest(text)))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    size, *more = map(int, out.stdout.split())
+    assert size >= 16 and more[0] < 25 * size and more[1] < 25 * size and more[2] < 10 * size, out.stdout
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     words = sorted({w.encode() for w in "a ab abc b bc walking talking walked talked é".split()})
     raw = lexicon.compile_lexicon({w: list(w) for w in words})
