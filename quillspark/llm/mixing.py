@@ -6,7 +6,9 @@ drawn with probability ``rate - floor(rate)``. The draws are seeded by hashes: a
 are dealt by the hash of their id to groups of about a thousand, ordered by size in each, and a
 uniform number hashed from the group shifts a systematic draw along that order. Each document is
 so drawn with exactly its probability, while the words taken stay near the target, also where a
-source has few documents or a few very long ones.
+source has few documents or a few very long ones. Draws of each document by its own hash alone would
+have the same probabilities; the words taken are then 0.93 to 1.19 times the targets of sf0.1's 20
+sources (0.77 to 1.57 at sf0.01), against 0.97 to 1.02 (0.81 to 1.05) with the shared shift.
 
 Defined results: null text has size 0; null sources form one source, ordered last; a source of
 size 0 has target 0 and its documents no copies; rows that repeat a ``doc_id`` are drawn each

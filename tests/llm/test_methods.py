@@ -146,6 +146,42 @@ def test_mixture_and_held_out_accuracy(spark):
     assert model.mixture(long)[0][0] == "fr"
 
 
+def test_recall_and_false_alarms(spark):
+    r = random.Random(21)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = secrets.identifiers(docs)
+    words = learned.split()
+    assert len(words) == secrets.LEARNED and not any(c.isdigit() for c in learned)
+    counts = {}
+    for x in docs.collect():
+        for w in re.split("[^A-Za-z_]+", x.text or ""):
+            if 4 <= len(w) <= 40:
+                counts[w] = counts.get(w, 0) + 1
+    assert words[::-1] == sorted(counts, key=lambda w: (-counts[w], w))[: secrets.LEARNED]
+    dictionary = f"{learned} {secrets.IDENTIFIERS}"
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    frames = ["the access_key is {} here", "Authorization -> {}", "client_secret_for_the_service {}", "credentials:\n  - {}\n", "bearer <{}>"]
+    alphabets = [digits + "ABCDEF", upper + "234567", digits + lower, upper + lower + digits, upper + lower + digits + "+/"]
+    found = planted = 0
+    for letters in alphabets:
+        for n in (20, 24, 32, 40, 64, 128):
+            for frame in frames:
+                for _ in range(4):
+                    key = "".join(r.choice(letters) for _ in range(n - 2)) + "7" + next(c for c in letters[::-1] if c.isalpha())
+                    around = " ".join(r.choices(words, k=30))
+                    text = f"{around} {frame.format(key)} {around}"
+                    a = text.index(key)
+                    base = secrets.base_spans(text)
+                    spans = base + secrets.novel_spans(text, base, dictionary=dictionary)
+                    planted += 1
+                    found += any(x < a + n and y > a for x, _, y in spans)
+    assert found >= 0.95 * planted, (found, planted)
+    # Names, paths and versions beside the same words.
+    plain = [f"{a}_{b}_{r.randrange(100)}" for a, b in zip(words, words[1:]) if len(a) + len(b) > 14] + [f"https/{a}/{b}/index_{r.randrange(10)}" for a, b in zip(words, words[5:])]
+    alarms = sum(bool(secrets.novel_spans(f"{' '.join(r.choices(words, k=30))} {r.choice(frames).format(x)} and so on", [], dictionary=dictionary)) for x in plain)
+    assert alarms <= 0.02 * len(plain), (alarms, len(plain))
+
+
 def plain_mixture(model, text):
     """The model's rule in plain Python: hashed n-grams, greedy growth of the set, expectation-maximisation."""
     import math
