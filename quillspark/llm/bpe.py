@@ -7,8 +7,8 @@ rank. The ids are those of the ``tokenizers`` library for the same vocabulary fi
 
 Defined results: null and empty texts have no ids and decode to the empty text; texts of any
 length are encoded whole; repeated rows give repeated results; an empty table gives an empty
-result; other columns are ignored. Words of equal counts are all in the lexicon or all out; which
-words it holds never changes the ids.
+result; other columns are ignored. Of words whose counts tie at the bound of the lexicon, a
+hash chooses those that fit; which words it holds never changes the ids.
 """
 
 from __future__ import annotations
@@ -206,13 +206,18 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text_col="text", most: int =
     # the driver, which gives the level from which on the words fit.
     level_of = F.when(F.col("n") <= HIGH, F.col("n")).otherwise(HIGH + F.floor(F.log2("n") * 256))
     levels = {r.level: r.words for r in counts.groupBy(level_of.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()}
-    least, held = max(levels, default=0) + 1, 0
+    least, held, share = max(levels, default=0) + 1, 0, 0.0
     for level in sorted(levels, reverse=True):
-        held += levels[level]
-        if held > most:
+        if held + levels[level] > most:
+            # Of the words that tie at the bound, about as many as there is room for, by their hash.
+            share = 0.95 * (most - held) / levels[level]
             break
+        held += levels[level]
         least = level
-    top = counts.where(level_of >= least).select("word").collect()
+    chosen = level_of >= least
+    if share:
+        chosen |= (level_of == level) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    top = counts.where(chosen).select("word").collect()
     enc = WordBPE(tokenizer)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     uri = f"{shared_dir(spark)}/{name}"

@@ -83,6 +83,34 @@ def test_join(docs, none):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
 
 
+def test_lexicon_of_words_that_tie(spark, monkeypatch):
+    import pyspark
+
+    rows = [(i, " ".join(f"word{chr(97 + i)}{chr(97 + k)}" for k in range(20)) + " the the") for i in range(20)]
+    docs = spark.createDataFrame(rows + rows, "doc_id long, text string")
+    name = bpe.build_lexicon(docs, tokenizer_path(), most=100)
+    words = bpe.word_counts(docs, tokenizer_path()).where("n > 1").collect()
+    held = bpe.Lexicon(pyspark.SparkFiles.get(name)).places([bytes(r.word) for r in words])
+    assert len(words) == 401 and 40 < (held >= 0).sum() <= 130
+    got = sorted(map(tuple, bpe.digests(docs, tokenizer_path()).collect()))
+    assert got == sorted(bpe.brute_force(rows + rows, tokenizer_path()))
+
+
+def test_helper_names_do_not_clash(spark):
+    """Inputs with columns named like the operators' own."""
+    names = ["_mix_size", "_mix_copies", "_ld_host", "_ld_lines", "_nj_id", "_nj_key", "_row", "_at", "_words", "_grams", "_p", "_text", "to", "hash", "cell", "task"]
+    rows = [(i, f"line {i}\ntop of the page\nReleased under the MIT License." if i else None, "en", "s", 0, *["x"] * len(names)) for i in [0, 1, 2, 3, 4, 4]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    model = langid.train(plain)
+    for run in (
+        lambda d: jaccard.components(d, 3, Fraction(9, 10)), lambda d: jaccard.keep_one(d).select("doc_id", "text"), lambda d: fingerprint.neighbours(d, parts=2), lambda d: langid.identify(d, model),
+        lambda d: secrets.scan(d), lambda d: licences.classify(d, licences.train(spark)), lambda d: bpe.digests(d, tokenizer_path()), lambda d: langid.keep_identified(d, model).select("doc_id", "text"),
+    ):
+        assert sorted(map(str, run(docs).collect())) == sorted(map(str, run(plain).collect()))
+    assert jaccard.keep_one(docs).columns == docs.columns
+
+
 def test_bpe(docs, none):
     got = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in bpe.digests(docs, tokenizer_path()).collect())
     assert got == sorted(bpe.brute_force([(-1 if d is None else d, t) for d, t, *_ in rows()], tokenizer_path()))
@@ -131,6 +159,9 @@ def test_line_dedup(spark, docs, none):
     frame = spark.createDataFrame(pages, "page_id long, host string, text string")
     kept = {r.page_id: r.text for r in linededup.dedup_lines(frame).collect()}
     assert kept == {**{i: str(i) for i in range(4)}, 4: "top", 5: "", 6: "", 7: "", 8: None}
+    # Hosts of fewer than MIN_PAGES pages have no boilerplate: two pages of one line each tell nothing.
+    two = spark.createDataFrame([(1, "two", "same\na"), (2, "two", "same\nb")], "page_id long, host string, text string")
+    assert {r.text for r in linededup.dedup_lines(two).collect()} == {"same\na", "same\nb"} and linededup.MIN_PAGES == 3
     # A ratio that equals the bound keeps its lines.
     assert all(r.text.startswith("top") for r in linededup.dedup_lines(frame.where("host = 'h' AND text IS NOT NULL"), max_ratio=1.0).collect())
 
