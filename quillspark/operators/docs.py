@@ -102,12 +102,14 @@ def tags(rox_tokens: DataFrame, tag_table: DataFrame) -> DataFrame:
     return rox_tokens.where("kind = 'TAG_NAME'").select("doc_id", "tok", F.col("text").alias("name"), "h_start", "h_end").join(F.broadcast(tag_table), "name", "left")
 
 
-def params(rox_elements: DataFrame, rox_tokens: DataFrame) -> DataFrame:
-    """doc_id, p_start, name of every documented parameter: names below a NAME_LIST."""
-    lists = rox_elements.where("kind = 'NAME_LIST'").select(F.col("doc_id").alias("l_doc"), F.col("id").alias("l_id"))
-    names = rox_elements.where("is_token AND kind = 'IDENTIFIER'").join(lists, (F.col("doc_id") == F.col("l_doc")) & (F.col("parent_id") == F.col("l_id")))
-    text = rox_tokens.select("doc_id", "p_start", "text")
-    return names.select("doc_id", "p_start").join(text, ["doc_id", "p_start"]).select("doc_id", "p_start", F.col("text").alias("name"))
+#: What ``params`` reads of a parse.
+PARAMS = ["rox_elements.parent_id,kind,p_start,tok", "rox_tokens.text"]
+
+
+def params(parsed: DataFrame) -> DataFrame:
+    """doc_id, p_start, name of every documented parameter, names below a NAME_LIST, without a shuffle."""
+    names = F.filter("rox_elements", lambda e: (e["kind"] == "IDENTIFIER") & (F.get("rox_elements", e["parent_id"])["kind"] == "NAME_LIST"))
+    return parsed.select("doc_id", F.inline(F.transform(names, lambda e: F.struct(e["p_start"].alias("p_start"), F.get("rox_tokens", e["tok"])["text"].alias("name")))))
 
 
 def map_points(spans: DataFrame, points: DataFrame, affinity: str = "Right", edges: bool = True) -> DataFrame:

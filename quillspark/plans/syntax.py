@@ -13,7 +13,6 @@ from itertools import accumulate, chain
 
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +45,7 @@ COLUMNS: dict[str, pa.DataType] = {
     "tree_digest": _S,
     "projected": _S,
     "rox_tokens": _list(tok=_I, kind=_S, p_start=_L, p_end=_L, h_start=_L, h_end=_L, text=_S),
-    "rox_elements": _list(id=_I, parent_id=_I, child_index=_I, depth=_I, is_token=_B, kind=_S, p_start=_L, p_end=_L, last_desc=_I),
+    "rox_elements": _list(id=_I, parent_id=_I, child_index=_I, depth=_I, is_token=_B, kind=_S, p_start=_L, p_end=_L, last_desc=_I, tok=_I),
     "rox_blocks": _list(block=_I, h_start=_L, h_end=_L, p_start=_L, p_end=_L, line_count=_I),
     "rox_assoc": _list(block=_I, state=_S, expr_start=_L, expr_end=_L, gap_start=_L, gap_end=_L),
     "rox_diagnostics": _list(ord=_I, code=_S, start=_L, end=_L, message=_S),
@@ -187,8 +186,8 @@ def _rox_elements(s) -> list[dict]:
     out: list[dict] = []
     at = 0
 
-    def add(parent, child, depth, token, kind, a, z):
-        out.append({"id": len(out), "parent_id": parent, "child_index": child, "depth": depth, "is_token": token, "kind": kind, "p_start": a, "p_end": z, "last_desc": len(out)})
+    def add(parent, child, depth, token, kind, a, z, tok=None):
+        out.append({"id": len(out), "parent_id": parent, "child_index": child, "depth": depth, "is_token": token, "kind": kind, "p_start": a, "p_end": z, "last_desc": len(out), "tok": tok})
         return len(out) - 1
 
     stack = [[s.root, add(None, 0, 0, False, s.root.kind, 0, 0), 0]]
@@ -207,7 +206,7 @@ def _rox_elements(s) -> list[dict]:
         else:
             t = s.tokens[kid]
             at = t.end
-            add(own, k, depth, True, t.kind, t.start, t.end)
+            add(own, k, depth, True, t.kind, t.start, t.end, kid)
     return out
 
 
@@ -293,14 +292,6 @@ def syntax(sources: DataFrame, columns: Iterable[str], options: ParserOptions =
     return rows.mapInArrow(run, schema)
 
 
-def once(df: DataFrame) -> DataFrame:
-    """Keep a parse that several branches of a query use: in memory, then on disk; lost blocks are parsed again.
-
-    Call ``unpersist`` on what this returns when the query's results have been taken.
-    """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def table(sources: DataFrame, column: str, **more) -> DataFrame:
     """One of the array columns (``name`` or ``name.field,field``) as a flat table: doc_id and its fields."""
     return syntax(sources, [column], **more).select("doc_id", F.inline(column.partition(".")[0]))

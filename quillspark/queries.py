@@ -572,8 +572,7 @@ def rox_tags(spark, sf_dir):
 
 @query("SELECT p_partkey AS doc_id, unnest(['x', 'y']) AS name FROM part")
 def rox_params(spark, sf_dir):
-    s = c.functions(spark, sf_dir)
-    return docs.params(table(s, "rox_elements"), table(s, "rox_tokens")).select("doc_id", "name")
+    return docs.params(syntax(c.functions(spark, sf_dir), docs.PARAMS)).select("doc_id", "name")
 
 
 @query(f"""SELECT doc_id, CAST(0 AS BIGINT) AS block, 'Normal' AS state, CAST({_ROX_END} + 1 AS BIGINT) AS expr_start, CAST({_ROX_END} AS BIGINT) AS gap_start, CAST({_ROX_END} + 1 AS BIGINT) AS gap_end FROM {_PART}""")
