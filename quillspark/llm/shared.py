@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from urllib.parse import unquote, urlparse
 
@@ -25,26 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillspark"
     if "://" not in root and not root.startswith("file:"):
         root = "file://" + os.path.abspath(root)
-    _made.append(f"{root.rstrip('/')}/q-{uuid.uuid4().hex}")
-    return _made[-1]
+    _made().append(f"{root.rstrip('/')}/q-{uuid.uuid4().hex}")
+    return _made()[-1]
 
 
-#: Folders handed out by this driver, in order.
-_made: list[str] = []
+_local_state = threading.local()
+
+
+def _made() -> list[str]:
+    """Folders handed out in this thread, in order: queries of other threads keep theirs."""
+    if not hasattr(_local_state, "made"):
+        _local_state.made = []
+    return _local_state.made
 
 
 def mark() -> int:
     """A place in the order of folders, for ``drop_since``."""
-    return len(_made)
+    return len(_made())
 
 
 def drop_since(spark: SparkSession, place: int, keep: tuple[str, ...] = ()) -> None:
     """Remove the folders handed out since ``place`` but for those to keep, once nothing reads them any more."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for uri in [u for u in _made[place:] if u not in keep]:
+    for uri in [u for u in _made()[place:] if u not in keep]:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
         path.getFileSystem(conf).delete(path, True)
-        _made.remove(uri)
+        _made().remove(uri)
 
 
 def write_table(df: DataFrame, path: str | None = None) -> DataFrame:
