@@ -12,6 +12,7 @@ from .operators import checks, docs, lines, tree
 from .plans.syntax import diagnostics, elements, syntax, table, tokens
 from .sources import corpora as c
 from .sources import decode as d
+from .streaming import repl
 
 
 
@@ -649,6 +650,23 @@ def rox_embedded_map(spark, sf_dir):
     return docs.embedded_to_host(mappings, ranges)
 
 
+# Streams, run to their end and read back.
+
+
+@query("""SELECT o_orderkey AS doc_id, 'Complete' AS status, false AS needs_more_input FROM orders""")
+def stream_status(spark, sf_dir):
+    calls_ = c.calls(c.Streaming(spark), sf_dir)
+    return repl.read_back(repl.parse_stream(calls_, ["status", "needs_more_input"]))
+
+
+@query("""SELECT 's' || c_custkey AS session, CAST(t[1] AS BIGINT) AS n, t[2] AS status, t[3] AS text FROM (SELECT c_custkey, unnest([['0', 'Complete', 'f <- function(x) {' || chr(10) || 'x' || chr(10) || '}' || chr(10)], ['1', 'Complete', 'y' || c_custkey || chr(10)], ['2', 'Invalid', ')' || chr(10)]]) AS t FROM customer)""")
+def stream_sessions(spark, sf_dir):
+    """Lines of interactive sessions, put together until they parse; what is still open at the end is held."""
+    lines_ = F.expr("explode(array(named_struct('seq', 0L, 'line', 'f <- function(x) {'), named_struct('seq', 1L, 'line', 'x'), named_struct('seq', 2L, 'line', '}'), named_struct('seq', 3L, 'line', concat('y', c_custkey)), named_struct('seq', 4L, 'line', ')'), named_struct('seq', 5L, 'line', 'f(')))")
+    rows = c.table(c.Streaming(spark), sf_dir, "customer").select(F.concat(F.lit("s"), "c_custkey").alias("session"), lines_.alias("x")).select("session", "x.seq", "x.line")
+    return repl.read_back(repl.complete_inputs(rows))
+
+
 # Conformance.
 
 _GOLDEN = ", ".join("('" + "', '".join([name, *row]) + "')" for name, row in c.EXPECTED.items())

@@ -33,7 +33,18 @@ def literal(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+class Streaming:
+    """In place of a session: its tables are read as streams."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+
+def table(spark: SparkSession | Streaming, sf_dir: str, name: str) -> DataFrame:
+    if isinstance(spark, Streaming):
+        schema = spark.spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+        # A stream reads folders or patterns: this one fits the table's file alone.
+        return spark.spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -5,6 +5,8 @@ The second is an addition: an interactive reader as a stateful stream, keyed by
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +22,20 @@ def parse_stream(sources: DataFrame, columns=("status",)) -> DataFrame:
     return syntax(sources, columns)
 
 
+def read_back(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run a stream over what is there now, and read what it wrote; ``folder`` is fresh, below the shared one by default."""
+    spark = stream.sparkSession
+    if folder is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            local = spark.sparkContext.master.startswith("local")
+            root = "file://" + tempfile.mkdtemp(prefix="quillspark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    done = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def complete_inputs(lines: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """session, n, status, text: inputs of (session, seq, line) rows, each given out once it needs no more lines.
 
