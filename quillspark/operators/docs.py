@@ -112,6 +112,61 @@ def params(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.inline(F.transform(names, lambda e: F.struct(e["p_start"].alias("p_start"), F.get("rox_tokens", e["tok"])["text"].alias("name")))))
 
 
+#: What ``map_points_in`` and ``map_ranges_in`` read of a parse.
+SPANS = "rox_tokens.p_start,p_end,h_start,h_end"
+_SPAN = "struct<from_start:bigint,from_end:bigint,to_start:bigint,to_end:bigint>"
+
+
+def _together(spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """Spans and what is asked of them as rows of one table: doc_id, and s or p."""
+    p = F.struct(*asked.columns)
+    kind = asked.select(p.alias("p")).schema["p"].dataType
+    rows = spans.select("doc_id", F.struct("from_start", "from_end", "to_start", "to_end").cast(_SPAN).alias("s"), F.lit(None).cast(kind).alias("p"))
+    return rows.unionByName(asked.select("doc_id", p.alias("p")), allowMissingColumns=True)
+
+
+def _together_in(parsed: DataFrame, asked: Column, to: str) -> DataFrame:
+    """The same rows from one parse (``syntax(s, [SPANS])``): ``asked`` is an array of structs in its row."""
+    a, b = ("p", "h") if to == "host" else ("h", "p")
+    inner = parsed.select(asked.alias("x")).schema["x"].dataType.elementType
+    kind = f"array<struct<s:{_SPAN},p:struct<{','.join(['doc_id:' + parsed.schema['doc_id'].dataType.simpleString(), *[f'`{f.name}`:{f.dataType.simpleString()}' for f in inner]])}>>>"
+    spans = F.transform("rox_tokens", lambda t: F.struct(F.struct(t[f"{a}_start"], t[f"{a}_end"], t[f"{b}_start"], t[f"{b}_end"]), F.lit(None)))
+    points = F.transform(asked, lambda x: F.struct(F.lit(None), F.struct(F.col("doc_id"), *[x[f.name] for f in inner])))
+    return parsed.select("doc_id", F.inline(F.concat(spans.cast(kind), points.cast(kind))))
+
+
+def _mapped(rows: DataFrame, point: Column, name: str, affinity: str, edges: bool) -> DataFrame:
+    """``rows`` of ``_together`` with the place of ``point`` as column ``name``; windows by document alone, no join."""
+    right = affinity == "Right"
+    a, z = F.col("s.from_start"), F.col("s.from_end")
+    # With Right the span that begins at the point counts, with Left the one that ends there; empty spans hold no point.
+    placed = rows.withColumns({"_at": F.coalesce(a, point), "_order": F.when(F.col("s").isNull() == F.lit(right), 1).otherwise(0)})
+    order = Window.partitionBy("doc_id").orderBy("_at", "_order", "s.from_end").rowsBetween(Window.unboundedPreceding, 0)
+    held = placed.withColumn("_s", F.last_value(F.when(z > a, F.col("s")), ignoreNulls=True).over(order))
+    start, end = F.col("_s.from_start"), F.col("_s.from_end")
+    inside = ((start <= point) & (point < end)) if right else ((start < point) & (point <= end))
+    value = F.when(inside, F.col("_s.to_start") + point - start)
+    if edges:
+        # What no span holds on that side may still lie on an edge: the first that begins there, or the last that ends there
+        # (one that isn't empty and ends there holds the point).
+        here = Window.partitionBy("doc_id", "_at")
+        edge = F.min("s.to_start").over(here) if right else F.max(F.when(z == a, F.col("s.to_end"))).over(here)
+        held = held.withColumn("_edge", edge)
+        value = F.coalesce(value, F.when(F.col("doc_id").isNotNull() & point.isNotNull(), F.col("_edge")))
+    return held.withColumn(name, value).select(*rows.columns, name)
+
+
+def _points(rows: DataFrame, affinity: str, edges: bool) -> DataFrame:
+    return _mapped(rows, F.col("p.point"), "_a", affinity, edges).where("p IS NOT NULL").select("p.*", F.col("_a").alias("mapped"))
+
+
+def _ranges(rows: DataFrame, start_affinity: str, end_affinity: str, edges: bool) -> DataFrame:
+    left = _mapped(rows, F.col("p.start"), "_a", start_affinity, edges)
+    both = _mapped(left, F.col("p.end"), "_z", end_affinity, edges).where("p IS NOT NULL")
+    known = F.col("_a").isNotNull() & F.col("_z").isNotNull()
+    return both.select("p.*", F.when(known, F.col("_a")).alias("mapped_start"), F.when(known, F.col("_z")).alias("mapped_end"))
+
+
 def map_points(spans: DataFrame, points: DataFrame, affinity: str = "Right", edges: bool = True) -> DataFrame:
     """points (doc_id, point) with ``mapped``; spans have doc_id, from_start, from_end, to_start, to_end.
 
@@ -119,33 +174,22 @@ def map_points(spans: DataFrame, points: DataFrame, affinity: str = "Right", edg
     that nothing touches from that side, it goes with the span that ends or begins there, unless
     ``edges`` is off. Spans do not overlap: one window finds the last one that begins before a point.
     """
-    right = affinity == "Right"
-    p = F.struct(*points.columns)
-    kind = points.select(p.alias("p")).schema["p"].dataType
-    span = F.struct("from_start", "from_end", "to_start", "to_end")
-    # With Right the span that begins at the point counts, with Left the one that ends there; empty spans hold no point.
-    rows = spans.select("doc_id", F.col("from_start").alias("_at"), F.lit(0 if right else 1).alias("_order"), F.when(F.col("from_end") > F.col("from_start"), span).alias("_s"), span.alias("_any"), F.lit(None).cast(kind).alias("p"))
-    rows = rows.unionByName(points.select("doc_id", F.col("point").alias("_at"), F.lit(1 if right else 0).alias("_order"), p.alias("p")), allowMissingColumns=True)
-    order = Window.partitionBy("doc_id").orderBy("_at", "_order", "_any.from_end").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("s", F.last_value("_s", ignoreNulls=True).over(order)).where("p IS NOT NULL").select("p.*", "s")
-    at, a, z = F.col("point"), F.col("s.from_start"), F.col("s.from_end")
-    inside = ((a <= at) & (at < z)) if right else ((a < at) & (at <= z))
-    value = F.when(inside, F.col("s.to_start") + at - a)
-    out = found.withColumn("mapped", value).drop("s")
-    if not edges:
-        return out
-    # What no span holds on that side may still lie on an edge: the first that begins there, or the last that ends there.
-    edge = spans.groupBy("doc_id", F.col("from_start" if right else "from_end").alias("point")).agg((F.min_by("to_start", "to_start") if right else F.max_by("to_end", "to_end")).alias("_edge"))
-    return out.join(edge, ["doc_id", "point"], "left").select(*points.columns, F.coalesce("mapped", "_edge").alias("mapped"))
+    return _points(_together(spans, points), affinity, edges)
+
+
+def map_points_in(parsed: DataFrame, points: Column, to: str = "host", affinity: str = "Right", edges: bool = True) -> DataFrame:
+    """As ``map_points``, with spans and points (an array of structs with ``point``) from the same parsed rows."""
+    return _points(_together_in(parsed, points, to), affinity, edges)
 
 
 def map_ranges(spans: DataFrame, ranges: DataFrame, start_affinity: str = "Right", end_affinity: str = "Left", edges: bool = True) -> DataFrame:
     """ranges (doc_id, start, end) with ``mapped_start`` and ``mapped_end``, both null where either end has no place."""
-    keyed = ranges.withColumn("_start", F.col("start")).withColumn("_end", F.col("end"))
-    left = map_points(spans, keyed.withColumn("point", F.col("_start")), start_affinity, edges).withColumnRenamed("mapped", "_a").drop("point")
-    both = map_points(spans, left.withColumn("point", F.col("_end")), end_affinity, edges).withColumnRenamed("mapped", "_z").drop("point")
-    known = F.col("_a").isNotNull() & F.col("_z").isNotNull()
-    return both.select(*ranges.columns, F.when(known, F.col("_a")).alias("mapped_start"), F.when(known, F.col("_z")).alias("mapped_end"))
+    return _ranges(_together(spans, ranges), start_affinity, end_affinity, edges)
+
+
+def map_ranges_in(parsed: DataFrame, ranges: Column, to: str = "host", start_affinity: str = "Right", end_affinity: str = "Left", edges: bool = True) -> DataFrame:
+    """As ``map_ranges``, with spans and ranges (an array of structs with ``start`` and ``end``) from the same parsed rows."""
+    return _ranges(_together_in(parsed, ranges, to), start_affinity, end_affinity, edges)
 
 
 def spans_of(tokens: DataFrame, to: str = "host") -> DataFrame:

@@ -154,6 +154,21 @@ def test_points_and_ranges_against_the_sidecar(spark):
             assert got == {p: sidecar.map_point(own, p, affinity) for p in got} and len(got) == points.count()
 
 
+def test_points_in_the_row_without_joins(spark):
+    texts = ["#' @examples\n  #' f(1)\n#' é [a\nx\n\n#' b\n", "x\n", None, "x\n  #' a\n"]
+    s = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parsed, asked = syntax(s, [docs.SPANS]), F.transform(F.sequence(F.lit(-1), F.lit(60)), lambda i: F.struct(i.cast("long").alias("point")))
+    points = parsed.select("doc_id", F.inline(asked))
+    for to in ("host", "projected"):
+        for affinity in ("Left", "Right"):
+            one = docs.map_points_in(parsed, asked, to, affinity)
+            plan = one._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan and plan.count("MapInArrow") == 1
+            assert sorted(one.collect(), key=str) == sorted(docs.map_points(docs.spans_of(table(s, "rox_tokens"), to), points, affinity).collect(), key=str)
+    # Tables whose sizes are guessed too small are not broadcast either.
+    assert "Join" not in docs.map_points(docs.spans_of(table(s, "rox_tokens")), points)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_of_many_endings(spark):
     r = random.Random(3)
     texts = ["".join(r.choice(["a", "é", "\n", "\r", "\r\n", "🦀"]) for _ in range(r.randint(0, 300))) for _ in range(40)] + [None, ""]
