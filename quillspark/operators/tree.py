@@ -8,7 +8,7 @@ preorder, the descendants of ``n`` are the ids from n + 1 to n.last_desc, so not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import EXPRESSIONS, ID, LITERALS, NAMES, NAMES_OR_STRINGS, TAGS, TRIVIA
@@ -142,8 +142,6 @@ def function_params(parsed: DataFrame) -> DataFrame:
 
 def duplicate_formals(parsed: DataFrame) -> DataFrame:
     """Formals whose name came before in the same list."""
-    from pyspark.sql import Window
-
     f = function_params(parsed)
     order = Window.partitionBy("doc_id", "function_id", "name").orderBy("position")
     return f.withColumn("nth", F.row_number().over(order)).where("nth > 1").drop("nth")
@@ -210,14 +208,20 @@ def resolve(locs: DataFrame, elements: DataFrame) -> DataFrame:
     """Locations with the id they resolve to, or WrongDocument, MissingElement or StaleElement.
 
     Paths meet by a hash of 64 bits that goes down the tree step by step, so elements need no paths.
+    Locations and elements go through one shuffle by document, never a broadcast: what is guessed of the
+    size of parsed tables is far too small.
     """
-    e = elements.select(F.col("doc_id").alias("e_doc"), "path_hash", "id", F.col("kind").alias("e_kind"), F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.col("is_token").alias("e_token"))
-    docs = elements.where("id = 0").select(F.col("doc_id").alias("known"))
+    e = elements.select("doc_id", F.col("path_hash").alias("_hash"), F.struct("id", "kind", "start", "end", "is_token").alias("_e"))
     hashed = F.aggregate("path", F.lit(0).cast("long"), lambda h, k: F.xxhash64(h, k.cast("long")))
-    out = locs.withColumn("_hash", hashed).join(docs, F.col("doc_id") == F.col("known"), "left").join(e, (F.col("doc_id") == F.col("e_doc")) & (F.col("_hash") == F.col("path_hash")), "left")
-    same = (F.col("kind") == F.col("e_kind")) & (F.col("start") == F.col("e_start")) & (F.col("end") == F.col("e_end")) & (F.col("is_token") == F.col("e_token"))
-    error = F.when(F.col("known").isNull(), "WrongDocument").when(F.col("id").isNull(), "MissingElement").when(~same, "StaleElement")
-    return out.select(*[F.col(c) for c in locs.columns], F.when(error.isNull(), F.col("id")).alias("id"), error.alias("error"))
+    rows = locs.withColumn("_hash", hashed).unionByName(e, allowMissingColumns=True)
+    rows = rows.withColumn("_known", F.col("doc_id").isNotNull() & F.coalesce(F.max(F.col("_e.id") == 0).over(Window.partitionBy("doc_id")), F.lit(False)))
+    rows = rows.withColumn("_found", F.collect_list("_e").over(Window.partitionBy("doc_id", "_hash"))).where("_e IS NULL")
+    out = rows.select(*locs.columns, "_known", F.explode_outer(F.when(F.col("_known"), F.col("_found"))).alias("_at"))
+    same = F.lit(True)
+    for c in ("kind", "start", "end", "is_token"):
+        same &= F.col(c) == F.col(f"_at.{c}")
+    error = F.when(~F.col("_known"), "WrongDocument").when(F.col("_at").isNull(), "MissingElement").when(~same, "StaleElement")
+    return out.select(*[F.col(c) for c in locs.columns], F.when(error.isNull(), F.col("_at.id")).alias("id"), error.alias("error"))
 
 
 def validate(elements: DataFrame, diagnostics: DataFrame, sources: DataFrame) -> DataFrame:

@@ -169,6 +169,29 @@ def test_points_in_the_row_without_joins(spark):
     assert "Join" not in docs.map_points(docs.spans_of(table(s, "rox_tokens")), points)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_locations_without_joins(spark):
+    s = spark.createDataFrame([(1, "f(x, 2)\n"), (2, None), (None, "a\n"), (3, "a <- b\n")], "doc_id long, text string")
+    own = tree.locations(table(s, tree.LOCATED))
+    gone = own.where("doc_id = 1").withColumn("path", F.concat("path", F.array(F.lit(99))))
+    odd = spark.createDataFrame([(3, None, "SOURCE_FILE", 0, 7, False), (9, [], "SOURCE_FILE", 0, 7, False), (3, [], "SOURCE_FILE", 0, 6, False)], own.schema)
+    got = tree.resolve(own.unionByName(gone).unionByName(odd), table(s, tree.RESOLVED))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    ids = {(r.doc_id, tuple(r.path)): r.id for r in table(s, "elements.id,path").collect()}
+    for r in rows:
+        place = (r.doc_id, r.path and tuple(r.path) or ()) if r.path is not None else None
+        want = "WrongDocument" if r.doc_id not in (1, 2, 3) else "MissingElement" if place not in ids else "StaleElement" if r.end == 6 and r.path == [] else None
+        assert (r.error, r.id) == (want, None if want else ids[place])
+    assert len(rows) == own.count() + gone.count() + 3
+
+
+def test_locations_query_parses_twice(spark):
+    from quillspark.queries import QUERIES
+
+    plan = QUERIES["locations_resolve"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_lines_of_many_endings(spark):
     r = random.Random(3)
     texts = ["".join(r.choice(["a", "é", "\n", "\r", "\r\n", "🦀"]) for _ in range(r.randint(0, 300))) for _ in range(40)] + [None, ""]
