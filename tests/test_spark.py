@@ -128,6 +128,24 @@ def test_table_functions(spark):
     assert [r.start for r in spark.sql("SELECT start FROM r_lines('é\r\nb') ORDER BY line").collect()] == [0, 4]
 
 
+def test_lines_in_sql_join_and_shuffle_nothing(spark):
+    register(spark)
+    r = random.Random(4)
+    texts = ["".join(r.choice(["a", "é", "\n", "\r", "\r\n", "🦀"]) for _ in range(r.randint(0, 300))) for _ in range(30)] + [None, "", "\n"]
+    texts += [texts[0], "x\n" * 30_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").createOrReplaceTempView("lined")
+    df = spark.sql("SELECT doc_id, line, start, content FROM lined, LATERAL r_lines(text)")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    want, got = [], sorted(tuple(x) for x in df.collect())
+    for i, t in enumerate(texts):
+        at, parts = 0, re.split("(\r\n|\r|\n)", t or "")
+        for k, (content, ending) in enumerate(zip(parts[::2], [*parts[1::2], ""])):
+            want.append((i, k, at, content))
+            at += len((content + ending).encode())
+    assert got == want
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([("s", 0, "f <- function(x) {"), ("s", 1, "x"), ("t", 0, ")"), ("s", 2, "}"), ("s", 3, "y")], "session string, seq long, line string").coalesce(1).write.json(str(src))
