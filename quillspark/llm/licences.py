@@ -94,17 +94,17 @@ COUNTER = [
 ]
 
 
-#: What looks like the short name of a licence of some version.
-MARKED = r"([a-z]+-[0-9][0-9.]*)"
-#: What lies between words, points at their ends included.
-BETWEEN = r"(?:\.*[^a-z0-9.+-])+|\.+$"
+#: What looks like the short name of a licence of some version; tried once a run of letters.
+MARKED = r"(?<![a-z])([a-z]++-[0-9][0-9.]*+)"
+#: A word, without points at its end. Nothing is tried twice or nested, so a run of any length costs its length.
+WORD = r"(?<!\.)\.*+[a-z0-9+-]++(?:\.++[a-z0-9+-]++)*+"
 
 
 def words(text: Column) -> Column:
     """Lower-cased words of a paragraph; points, plus and hyphens stay inside them, and ``name-2.0`` has a mark before it."""
     low = F.lower(text)
-    marked = F.when(low.rlike("-[0-9]"), F.regexp_replace(low, MARKED, "idmark $1")).otherwise(low)
-    return F.filter(F.split(F.regexp_replace(marked, BETWEEN, " "), " "), lambda w: w != "")
+    marked = F.when(text.contains("-") & text.rlike("-[0-9]"), F.regexp_replace(low, MARKED, "idmark $1")).otherwise(low)
+    return F.regexp_extract_all(marked, F.lit(WORD), F.lit(0))
 
 
 # A line break that wraps a sentence: the next line goes on in small letters, capitals go on in capitals,
@@ -229,8 +229,8 @@ def classify(docs: DataFrame, model: Classifier, id_col="doc_id", text_col="text
     """A row for each licence-like paragraph: doc_id, paragraph (its place), licence, nearest, probability, similarity."""
     spark = docs.sparkSession
     every = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(paragraphs(F.col(text_col))).alias("paragraph", "_text"))
-    every = every.select("doc_id", "paragraph", words(F.col("_text")).alias("_words")).where(F.size("_words") > 0)
-    like = model.like(every)
+    every = _once(every, _words=words(F.col("_text"))).drop("_text")
+    like = model.like(every.where(F.size("_words") > 0))
     # One small row of all templates; only licence-like paragraphs are compared.
     rows = [{"family": f, "text": t} for f, ts in _templates().items() for t in ts]
     table = _local(spark, rows, "family:string,text:string").select("family", F.array_distinct(words(F.col("text"))).alias("t")).groupBy("family").agg(F.collect_list("t").alias("_templates"))
@@ -251,7 +251,7 @@ def brute_force(rows: list[tuple[int, str | None]], model: Classifier) -> list[t
     """(doc_id, paragraph, licence, nearest, probability, similarity), rounded, from the coefficients in plain Python."""
 
     def split(text):
-        plain = re.sub(r"\.+( |$)", " ", re.sub(r"[^a-z0-9.+-]+", " ", re.sub(MARKED, r"idmark \1", text.lower())))
+        plain = re.sub(r"\.+( |$)", " ", re.sub(r"[^a-z0-9.+-]+", " ", re.sub(r"([a-z]+-[0-9][0-9.]*)", r"idmark \1", text.lower())))
         return [w for w in plain.split(" ") if w]
 
     place = {g: i for i, g in enumerate(model.vectors.vocabulary)}

@@ -483,6 +483,21 @@ def test_licences_against_plain_python(spark, licence_model):
         assert {(r[1], r[2]) for r in got if r[0] == 10**6 + i} == want
 
 
+def test_licences_in_long_runs(spark, licence_model):
+    """Runs that hold no word, letters without end and rows of points: read whole, by patterns that do not nest."""
+    long = ["\u0436" * 60000, "\u0441\u043b\u043e\u0432\u043e " * 10000 + "Released under the MIT License.", " " * 60000 + "MIT License", "a" * 60000 + "-1", "." * 20000 + " MIT License", "..MIT... License.. ...\r", "x-1.y-2.. GPL-2.0 licenseGPL-2.0 license"]
+    rows = [(i, t) for i, t in enumerate(long)]
+    got = sorted((r[0], r[1], r[2], r[3], round(r[4], 6), round(r[5], 6)) for r in licences.classify(spark.createDataFrame(rows, "doc_id long, text string"), licence_model).collect())
+    assert got == sorted(licences.brute_force(rows, licence_model)) and {(1, "mit"), (2, "mit"), (4, "mit")} <= {(r[0], r[2]) for r in got}
+
+
+def test_licence_words_are_taken_once(spark, licence_model):
+    """No filter makes a plan take the words of a paragraph again; the templates' are the other ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = licences.classify(docs, licence_model)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rlike(") + plan.count("RLIKE(") == 2
+
+
 def test_licence_probabilities_are_calibrated(spark, licence_model):
     bins = licences.reliability(spark, licence_model).collect()
     n = sum(r.n for r in bins)
